@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, language, media, packing, sharding, token_files
+from . import bpe, common, language, media, packing, sharding, substring_dedup, suffix_dedup, token_files
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -33,6 +33,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = common.Scratch(spark, "token-files").path("out")
     token_files.write(common.table(spark, sf_dir, "documents"), root, BYTE_BPE, end_id=2)
@@ -43,8 +47,12 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(common.table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_media, op4_packing, op7_token_files, op8_bpe)}
+    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_media, op4_packing, op5_suffix_dedup, op7_token_files, op8_bpe, op9_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
