@@ -65,23 +65,29 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
 
 
-def with_row_key(docs: DataFrame, scratch: Scratch, text: str = "text") -> DataFrame:
-    """(_rid, doc_id, text): _rid orders rows as doc_id does and names a row.
+def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs (doc_id, text, ...) with a first column _rid that orders rows as doc_id does.
 
     Where doc_id has no null and no repetition, it is the key itself. Else rows are ranked by
     (doc_id, nulls first; text's hash) and equal rows share a key: a row stated twice is one
     document, and each statement of it gets the same result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count()
-    if not odd:
-        return docs.withColumn("_rid", F.col("doc_id")).select("_rid", "doc_id", "text")
-    keyed = docs.withColumn("_h", F.xxhash64("text"))
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("_rid")
+    if not has_odd_keys(docs):
+        return docs.select(F.col("doc_id").alias("_rid"), "*")
+    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
     ranked = global_index(keyed.select("doc_id", "_h").distinct(), ["doc_id", "_h"], scratch, "_rid")
     a, b = keyed.alias("a"), ranked.alias("b")
-    return a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h"))).select("b._rid", "a.doc_id", "a.text")
+    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h")))
+    return joined.select("b._rid", *[F.col(f"a.`{c}`") for c in docs.columns])
+
+
+def has_odd_keys(docs: DataFrame) -> bool:
+    """Is a doc_id null or stated twice."""
+    return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR doc_id IS NULL").limit(1).count())
 
 
 def global_index(df: DataFrame, order: list[str], scratch: Scratch, name: str) -> DataFrame:

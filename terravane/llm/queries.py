@@ -8,7 +8,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, common, language, media, packing, sharding, substring_dedup, suffix_dedup, token_files
+from . import bpe, common, language, media, minhash, packing, sharding, substring_dedup, suffix_dedup, token_files, vamana
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -37,6 +37,10 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op6_vamana(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vamana.nearest(common.table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     root = common.Scratch(spark, "token-files").path("out")
     token_files.write(common.table(spark, sf_dir, "documents"), root, BYTE_BPE, end_id=2)
@@ -51,8 +55,12 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(common.table(spark, sf_dir, "documents"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(common.table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_media, op4_packing, op5_suffix_dedup, op7_token_files, op8_bpe, op9_substring_dedup)}
+    return {f.__name__: f for f in (op1_sharding, op2_language_id, op3_media, op4_packing, op5_suffix_dedup, op6_vamana, op7_token_files, op8_bpe, op9_substring_dedup, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:

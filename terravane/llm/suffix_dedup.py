@@ -27,7 +27,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_bytes: bool = False) -> Da
     """
     scratch = common.Scratch(docs.sparkSession, "suffix-dedup")
     common.small_batches(docs.sparkSession)
-    keyed = common.with_row_key(docs, scratch)
+    keyed = common.with_row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), scratch)
     gram = min(GRAM, max(1, window // 2)) if window <= 254 else window - 254 + 1
     spans = repeats.spans_of(repeats.repeated_windows(keyed, scratch, False, window, gram))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes

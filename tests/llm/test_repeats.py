@@ -73,8 +73,8 @@ def test_kept_texts(spark):
     words = " ".join(f"w{i}" for i in range(30))
     rows = [(1, f"x  {words}\n y"), (2, f"before\t{words} after \n"), (3, None), (4, "  as it   is "), (5, words)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    kept = {r.doc_id: r.t for r in substring_dedup.dedup(docs, texts="t").collect()}
-    assert kept == {1: rows[0][1], 2: "before\tafter \n", 3: "", 4: "  as it   is ", 5: ""}
+    kept = {r.doc_id: (r.text, r.n_chars, r.x) for r in substring_dedup.cut(docs.selectExpr("7 AS x", "*", "-1L AS n_chars")).collect()}
+    assert kept == {1: (rows[0][1], -1, 7), 2: ("before\tafter \n", 14, 7), 3: (None, -1, 7), 4: ("  as it   is ", -1, 7), 5: ("", 0, 7)}
 
 
 def test_interval_expansion():
