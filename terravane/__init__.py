@@ -1,0 +1,3 @@
+"""Terravane: tables with geometry columns on Spark."""
+
+__version__ = "0.1.0"
