@@ -44,7 +44,7 @@ class Bbox:
 
 
 def intersects(box: Column, query: Bbox, fields: tuple[str, str, str, str] = ("xmin", "ymin", "xmax", "ymax"), wrap: bool = False) -> Column:
-    """Does a box column meet the query box, edges included; false for a null box.
+    """Does a box column meet the query box, edges included; null, which no filter keeps, for a null box.
 
     Three comparisons are literal and go down to the scan. The fourth has a literal superset beside
     it, so that row groups are skipped there too. wrap=True also tries the query 360 degrees east,
@@ -61,7 +61,7 @@ def intersects(box: Column, query: Bbox, fields: tuple[str, str, str, str] = ("x
     across = at(q.xmin, q.xmax)
     if wrap and q.xmin < -180:
         across = across | at(q.xmin + 360, q.xmax + 360)
-    return F.coalesce((ymax >= q.ymin) & (ymin <= q.ymax) & across, F.lit(False))
+    return (ymax >= q.ymin) & (ymin <= q.ymax) & across
 
 
 def within(box: Column, limits: list[float]) -> Column:

@@ -40,7 +40,7 @@ def bbox_column(schema: T.StructType, metadata: GeoMetadata) -> BboxColumn:
 
 
 def meets(df: DataFrame, metadata: GeoMetadata, box: bbox.Bbox, wrap: bool = False) -> Column:
-    """Does a row's box meet the query box; false where it has none."""
+    """Does a row's box meet the query box; null where it has none."""
     found = bbox_column(df.schema, metadata)
     if found.name:
         return bbox.intersects(F.col(found.name), box, found.fields, wrap)

@@ -12,6 +12,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..errors import MetadataError, NoMetadataError, TerravaneError
 from ..metadata import KEY, GeoMetadata
@@ -124,7 +125,7 @@ class GeoParquetSource(DataSource):
         return WRITER
 
     def writer(self, schema, overwrite: bool):
-        return _Writer(dict(self.options), overwrite)
+        return _Writer(dict(self.options), overwrite, to_arrow_schema(schema))
 
 
 class _Part(WriterCommitMessage):
@@ -136,8 +137,8 @@ class _Writer(DataSourceArrowWriter):
     """Tasks write into a folder of the job's own; commit moves their files into place, so that a
     task that failed or ran twice leaves nothing behind."""
 
-    def __init__(self, options: dict, overwrite: bool):
-        self.options, self.overwrite = options, overwrite
+    def __init__(self, options: dict, overwrite: bool, schema: pa.Schema):
+        self.options, self.overwrite, self.schema = options, overwrite, schema
         self.path = options["path"].rstrip("/")
         self.job = uuid.uuid4().hex
         self.single = options.get("single_file", "false").lower() == "true"
@@ -148,43 +149,43 @@ class _Writer(DataSourceArrowWriter):
         from pyspark import TaskContext
 
         context = TaskContext.get()
+        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{self.job}.parquet"
+        return _Part(*self._file(name, batches))
+
+    def _file(self, name: str, batches: Iterator[pa.RecordBatch], even_empty: bool = False) -> tuple[str, int]:
+        """Writes the rows in groups of the length asked for; no rows, no file, unless `even_empty`."""
+        first = next(batches, None)
+        if first is None and not even_empty:
+            return "", 0
         where, _ = storage.store(self.path)
         where.create_dir(self.folder, recursive=True)
-        name = f"part-{context.partitionId():05d}-{context.taskAttemptId()}-{self.job}.parquet"
-        limit = int(self.options.get("row_group_length") or 0)
+        size = int(self.options.get("row_group_length") or 0) or 1 << 20
         compression: str | dict = codec(self.options.get("compression") or "zstd")
-        out, rows, held, kept = None, 0, [], 0
-        first = next(batches, None)
-        if first is None:
-            return _Part("", 0)
-        schema = pa.schema(first.schema).with_metadata({})
+        schema = (first.schema if first is not None else self.schema).remove_metadata()
         if self.options.get("codecs"):
             own = dict(x.split("=", 1) for x in self.options["codecs"].split(","))
             compression = {c: codec(own.get(c, "zstd")) for c in _leaves(schema)}
-        size = limit or 1 << 20
-        with where.open_output_stream(f"{self.folder}/{name}") as sink:
-            out = pq.ParquetWriter(sink, schema, compression=compression)
-            batch: pa.RecordBatch | None = first
+        held, kept, rows, batch = [], 0, 0, first
+        with where.open_output_stream(f"{self.folder}/{name}") as sink, pq.ParquetWriter(sink, schema, compression=compression) as out:
             while batch is not None:
                 held.append(batch)
-                kept += len(batch)
-                rows += len(batch)
+                kept, rows = kept + len(batch), rows + len(batch)
                 while kept >= size:
-                    table = pa.Table.from_batches(held, held[0].schema)
+                    table = pa.Table.from_batches(held)
                     out.write_table(table.slice(0, size).cast(schema), row_group_size=size)
                     rest = table.slice(size)
                     held, kept = rest.to_batches(), len(rest)
                 batch = next(batches, None)
             if kept:
-                out.write_table(pa.Table.from_batches(held, held[0].schema).cast(schema), row_group_size=size)
+                out.write_table(pa.Table.from_batches(held).cast(schema), row_group_size=size)
             if self.options.get("geo"):
                 out.add_key_value_metadata({KEY: self.options["geo"]})
-            out.close()
-        return _Part(name, rows)
+        return name, rows
 
     def commit(self, messages) -> None:
         where, at = storage.store(self.path)
         parts = sorted(m.name for m in messages if m and m.name)
+        parts = parts or [self._file(f"part-00000-{self.job}.parquet", iter(()), even_empty=True)[0]]
         if self.single:
             if len(parts) != 1:
                 raise TerravaneError(f"expected one file, got {len(parts)}")
