@@ -19,9 +19,9 @@ def info(path: str) -> dict:
     try:
         out["metadata"] = GeoMetadata.of_footer(storage.footer_pairs(file)).raw
     except NoMetadataError:
-        out["issues"].append(f'Not a valid GeoParquet file (missing the "{KEY}" metadata key). Run convert to try to convert it to GeoParquet.')
+        out["issues"].append(f'not a valid GeoParquet file, as the "{KEY}" metadata key is missing; convert may make it one')
     except MetadataError:
-        out["issues"].append(f'Not a valid GeoParquet file (invalid "{KEY}" metadata). Run describe with the --metadata-only flag to see the "{KEY}" metadata value. Run validate for more detail on validation issues.')
+        out["issues"].append(f'not a valid GeoParquet file, as its "{KEY}" metadata is invalid; describe --metadata-only shows the value, and validate says what is wrong')
     return out
 
 

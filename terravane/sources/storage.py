@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import shutil
 import tempfile
 import urllib.request
@@ -24,7 +25,7 @@ class Format(Enum):
 
 
 _SUFFIXES = {
-    ".gpq": Format.GEOPARQUET, ".geoparquet": Format.GEOPARQUET, ".pq": Format.PARQUET, ".parquet": Format.PARQUET,
+    ".pq": Format.PARQUET, ".parquet": Format.PARQUET,
     ".geojson": Format.GEOJSON, ".json": Format.GEOJSON, ".ndjson": Format.GEOJSON, ".ndgeojson": Format.GEOJSON, ".geojsonl": Format.GEOJSON,
 }
 LINES = (".ndjson", ".ndgeojson", ".geojsonl")
@@ -39,7 +40,11 @@ def suffix(path: str) -> str:
 
 
 def format_of(path: str) -> Format:
-    return _SUFFIXES.get(suffix(path), Format.UNKNOWN)
+    """By extension: g or geo before that of Parquet, short or long, tells of geometry metadata."""
+    own = suffix(path)
+    if re.fullmatch(r"\.(g|geo)p(q|arquet)", own):
+        return Format.GEOPARQUET
+    return _SUFFIXES.get(own, Format.UNKNOWN)
 
 
 def parse_format(name: str) -> Format:

@@ -292,7 +292,7 @@ def test_metadata():
 
 
 def test_formats_and_schemes(tmp_path):
-    assert [storage.format_of(n).value for n in ("a.gpq", "a.geoparquet", "a.pq", "a.parquet", "a.geojson", "a.ndjson", "https://h/a.parquet?q=1", "a.PARQUET", "a")] == ["geoparquet", "geoparquet", "parquet", "parquet", "geojson", "geojson", "parquet", "", ""]
+    assert [storage.format_of(n).value for n in ("a.geopq", "a.geoparquet", "a.pq", "a.parquet", "a.geojson", "a.ndjson", "https://h/a.parquet?q=1", "a.PARQUET", "a")] == ["geoparquet", "geoparquet", "parquet", "parquet", "geojson", "geojson", "parquet", "", ""]
     assert storage.readable("s3://b/k") == "s3a://b/k" and storage.readable("azblob://c/k") == "abfss://c/k" and storage.readable("/x") == "/x"
     with pytest.raises(TerravaneError):
         storage.readable("ftp://x/y")
