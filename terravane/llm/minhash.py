@@ -113,9 +113,9 @@ def _throw(hashes, weights, owner, element, cells, rank_cells, low, high, k, out
 
 
 def sketches(docs: DataFrame, counts: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_rid, doc_id, text_hash, size, f1, f2, bands): the number of distinct shingles (their total weight if
-    `counts`), a fingerprint of the set and a hash for each band."""
-    names = ["_rid", "doc_id", "text_hash", "size", "f1", "f2", "bands"]
+    """(_rid, doc_id, text_hash, size, f1, f2, bands, bytes): the number of distinct shingles (their total weight if
+    `counts`), a fingerprint of the set, a hash for each band and a byte for each coordinate."""
+    names = ["_rid", "doc_id", "text_hash", "size", "f1", "f2", "bands", "bytes"]
 
     def run(batches):
         factors = textvec.mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
@@ -132,14 +132,15 @@ def sketches(docs: DataFrame, counts: bool = False, bands: int = BANDS, rows: in
                 again = np.append(np.uint64(0), np.cumsum(textvec.mix(item ^ np.uint64(0x1234567)), dtype=np.uint64))
                 size = np.diff(np.append(0, np.cumsum(often))[own]) if counts else np.diff(own)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
-                cols = [*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(size), pa.array((total[own[1:]] - total[own[:-1]]).view(np.int64)), pa.array((again[own[1:]] - again[own[:-1]]).view(np.int64)), lists]
+                coarse = pa.array([x.tobytes() for x in (textvec.mix(sig) >> np.uint64(56)).astype(np.uint8)], pa.binary())
+                cols = [*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(size), pa.array((total[own[1:]] - total[own[:-1]]).view(np.int64)), pa.array((again[own[1:]] - again[own[:-1]]).view(np.int64)), lists, coarse]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("_rid", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "_rid long, doc_id long, text_hash long, size long, f1 long, f2 long, bands array<long>")
+    return docs.select("_rid", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "_rid long, doc_id long, text_hash long, size long, f1 long, f2 long, bands array<long>, bytes binary")
 
 
-def _sets(docs: DataFrame) -> DataFrame:
-    """(_rid, items): distinct shingle hashes, ascending, and their counts, as one binary."""
+def _sets(docs: DataFrame, counts: bool) -> DataFrame:
+    """(_rid, items): distinct shingle hashes, ascending, and if asked for their counts, as one binary."""
 
     def run(batches):
         for batch in batches:
@@ -147,32 +148,48 @@ def _sets(docs: DataFrame) -> DataFrame:
             for a, b in common.chunks(off):
                 part = off[a : b + 1]
                 hashes, often, own = shingles(data[part[0] : part[-1]], part - part[0])
-                items = [hashes[x:y].tobytes() + often[x:y].astype(np.uint32).tobytes() for x, y in zip(own[:-1], own[1:])]
+                items = [hashes[x:y].tobytes() + (often[x:y].astype(np.uint32).tobytes() if counts else b"") for x, y in zip(own[:-1], own[1:])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(items, pa.binary())], ["_rid", "items"])
 
     return docs.mapInArrow(run, "_rid long, items binary")
 
 
 def jaccard(x: bytes, y: bytes, counts: bool) -> float:
-    (hx, wx), (hy, wy) = ((np.frombuffer(v, np.uint64, n := len(v) // 12), np.frombuffer(v, np.uint32, n, n * 8)) for v in (x, y))
+    each = 12 if counts else 8
+    hx, hy = (np.frombuffer(v, np.uint64, len(v) // each) for v in (x, y))
     at = np.searchsorted(hy, hx)
     at[at == len(hy)] = 0
     both = hy[at] == hx if len(hy) else np.zeros(len(hx), bool)
     if not counts:
         common_ = int(both.sum())
         return common_ / max(1, len(hx) + len(hy) - common_)
+    wx, wy = (np.frombuffer(v, np.uint32, len(v) // 12, len(v) // 12 * 8) for v in (x, y))
     common_ = int(np.minimum(wx[both], wy[at[both]]).sum())
     return common_ / max(1, int(wx.sum()) + int(wy.sum()) - common_)
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, counts: bool, least: float) -> DataFrame:
-    """Those of (a, b) whose sets have the similarity, exactly."""
+def _verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, counts: bool, least: float) -> DataFrame:
+    """Those of (a, b) whose sets have the similarity, exactly.
+
+    Before whole sets meet, pairs go whose signatures agree in so few coordinates that a pair of
+    that similarity would do so with probability below 1e-8: six deviations less than its mean.
+    """
+
+    def likely(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (2, 3))
+            k = x.shape[1] if len(batch) else 1
+            close = pa.array((x == y).sum(axis=1) >= k * least - 6 * np.sqrt(k * least * (1 - least)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)], ["a", "b"])
 
     def run(batches):
         for batch in batches:
             close = [jaccard(x, y, counts) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(close, pa.bool_())), batch.column(1).filter(pa.array(close, pa.bool_()))], ["a", "b"])
 
+    for end, other in (("a", "p"), ("b", "q")):
+        pairs = pairs.join(sketch.select(F.col("_rid").alias(end), F.col("bytes").alias(other)), end)
+    pairs = pairs.select("a", "b", "p", "q").mapInArrow(likely, "a long, b long")
     left = sets.select(F.col("_rid").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("_rid").alias("b"), F.col("items").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -188,7 +205,8 @@ def components(links: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     step, before = 0, None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        # written before it is joined, so that a hot node's edges can be split
+        least = scratch.keep(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), f"{name}-least-{step}")
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
@@ -220,43 +238,49 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, counts: boo
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "minhash")
     common.small_batches(spark, 500)
+    # rows that hold a whole text's shingles are read a few at a time
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "256")
     keyed = common.with_row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), scratch)
     sketch = scratch.keep(sketches(keyed, counts), "sketches")
     same = scratch.keep(sketch.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("_rid").alias("rep")), "same")
     reps = sketch.join(same.select(F.col("rep").alias("_rid")), "_rid", "left_semi").select("_rid", "size", "bands").dropDuplicates(["_rid"])
     dealt = reps.select(F.explode("bands").alias("key"), "_rid", "size")
     groups = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("_rid", "size")).alias("centre")).where("m > 1")
+    groups = scratch.keep(groups, "groups")  # so that a hot band's rows can be split as they meet it
     members = scratch.keep(dealt.join(groups, "key"), "members")
     wanted = members.select("_rid").distinct()
-    sets = scratch.keep(_sets(keyed.select("_rid", "text").join(wanted, "_rid", "left_semi").dropDuplicates(["_rid"])), "sets")
+    sets = scratch.keep(_sets(keyed.select("_rid", "text").join(wanted, "_rid", "left_semi").dropDuplicates(["_rid"]), counts), "sets")
 
+    coarse = scratch.keep(sketch.select("_rid", "bytes").join(wanted, "_rid", "left_semi").dropDuplicates(["_rid"]), "coarse")
     near = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(similarity - 1e-9)
     star = members.select(F.col("centre._rid").alias("a"), F.col("_rid").alias("b"), F.col("centre.size").alias("sa"), F.col("size").alias("sb"))
-    links = scratch.keep(_verified(star.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), sets, counts, similarity), "links-1")
+    links = scratch.keep(_verified(star.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), coarse, sets, counts, similarity), "links-1")
     roots = components(links, scratch, "roots-1")
 
-    def in_parts(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    def in_parts(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Rows of the groups that still have several components, with root, and the group's size."""
         own = rows.join(roots.withColumnRenamed("node", "_rid"), "_rid", "left").withColumn("root", F.coalesce("root", "_rid"))
+        own = scratch.keep(own, f"{name}-own")
         split = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("_rid", "size", "root"), F.xxhash64("_rid")).alias("centre"))
-        return own.join(split.where("r0 <> r1").select("key", "m", "centre"), "key").select("key", "_rid", "size", "root", "m", "centre")
+        split = scratch.keep(split.where("r0 <> r1").select("key", "m", "centre"), f"{name}-split")
+        return own.join(split, "key").select("key", "_rid", "size", "root", "m", "centre")
 
     def crossed(rows: DataFrame) -> DataFrame:
         x = rows.select("key", F.col("_rid").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
         y = rows.select("key", F.col("_rid").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
         return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b")
 
-    rest = scratch.keep(in_parts(members.select("key", "_rid", "size"), roots), "rest-2")
+    rest = scratch.keep(in_parts(members.select("key", "_rid", "size"), roots, "rest-2"), "rest-2")
     centred = rest.where((F.col("m") > small) & (F.col("root") != F.col("centre.root"))).select(F.col("centre._rid").alias("a"), F.col("_rid").alias("b"), F.col("centre.size").alias("sa"), F.col("size").alias("sb")).where(near).select("a", "b")
     tried = crossed(rest.where(F.col("m") <= small)).unionByName(centred).distinct()
-    links = scratch.keep(links.unionByName(_verified(tried, sets, counts, similarity)), "links-2")
+    links = scratch.keep(links.unionByName(_verified(tried, coarse, sets, counts, similarity)), "links-2")
     roots = components(links, scratch, "roots-2")
 
-    large = in_parts(rest.where(F.col("m") > small).select("key", "_rid", "size"), roots).select("key", "_rid", "size")
+    large = in_parts(rest.where(F.col("m") > small).select("key", "_rid", "size"), roots, "large").select("key", "_rid", "size")
     again = large.join(reps.select("_rid", "bands"), "_rid").select(F.explode("bands").alias("other"), "key", "_rid", "size").where("other <> key")
     pairs_of_bands = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "_rid", "size").distinct()
-    rest = in_parts(pairs_of_bands, roots)
-    links = scratch.keep(links.unionByName(_verified(crossed(rest).distinct(), sets, counts, similarity)), "links-3")
+    rest = in_parts(pairs_of_bands, roots, "rest-3")
+    links = scratch.keep(links.unionByName(_verified(crossed(rest).distinct(), coarse, sets, counts, similarity)), "links-3")
     roots = scratch.keep(components(links, scratch, "roots-3"), "roots")
     scratch.drop("members", "sets", "rest-2")
 
