@@ -197,7 +197,7 @@ def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, words: int =
     """Fits on whole texts of at most about `rows` labelled rows, picked by doc_id's hash.
 
     Learns only from rows with text and lang whose crc32(doc_id as text) mod 5 isn't 0. Word counts
-    are summed by Spark; the driver gets the `words` most frequent of each language.
+    are summed by Spark; the driver gets about the `words` most frequent of each language.
     """
     common.small_batches(docs.sparkSession)
     pool = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
@@ -220,11 +220,20 @@ def train(docs: DataFrame, vocabulary: str, rows: int = TRAIN_ROWS, words: int =
                     counts.clear()
         yield out()
 
-    summed = pool.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    top = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    scratch = common.Scratch(docs.sparkSession, "language")
+    summed = scratch.keep(pool.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
+    # how often a word must occur: from a histogram, so that no task gathers a language's words;
+    # of the words that occur just that often, a share by hash
+    histogram = summed.groupBy("lang", "n").agg(F.count(F.lit(1)).alias("c"))
+    above = F.sum("c").over(Window.partitionBy("lang").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    cut = histogram.withColumn("above", F.coalesce(above, F.lit(0))).where(F.col("above") < words)
+    cut = cut.groupBy("lang").agg(F.min("n").alias("least"), F.min_by((F.lit(words) - F.col("above")) / F.col("c"), "n").alias("share"))
+    ticket = F.pmod(F.xxhash64("word"), F.lit(1 << 20)) < F.col("share") * (1 << 20)
+    frequent = summed.join(F.broadcast(cut), "lang").where((F.col("n") > F.col("least")) | ((F.col("n") == F.col("least")) & ticket))  # a row for each language
     counts: dict[str, dict[str, int]] = {}
-    for r in summed.withColumn("_r", top).where(F.col("_r") <= words).collect():
+    for r in frequent.collect():
         counts.setdefault(r.lang, {})[r.word] = r.n
+    scratch.drop("words")
     pieces = pieces_of(vocabulary)
     return *fit(counts, pieces), pieces
 
