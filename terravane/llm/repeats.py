@@ -148,9 +148,10 @@ def repeated_windows(docs: DataFrame, scratch: common.Scratch, words: bool, wind
     """(_rid, first, count): runs of windows whose content also starts earlier, in order of (_rid,
     start). `docs` has _rid and text. Runs may overlap or repeat; every such window is in one."""
     every = scratch.keep(all_runs(docs, words, window, gram), "runs")
-    shared = every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor")
+    # written before it is joined: only between two plain exchanges can a hot key's rows be split
+    shared = scratch.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared")
     runs = scratch.keep(every.join(shared, "anchor"), "shared_runs")
-    scratch.drop("runs")
+    scratch.drop("runs", "shared")
     lead = F.min(F.struct("_rid", "first"))
     distinct = runs.groupBy("anchor", "context").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
     distinct = scratch.keep(distinct, "contexts")
@@ -159,15 +160,14 @@ def repeated_windows(docs: DataFrame, scratch: common.Scratch, words: bool, wind
     copies = scratch.keep(copies, "copies")
     scratch.drop("shared_runs")
 
-    branching = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1")
+    branching = scratch.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "branching")
     wanted = distinct.join(branching, "anchor").groupBy("lead._rid").agg(F.collect_list(F.struct("anchor", F.col("lead.first").alias("first"), "count", "contexts")).alias("_wanted"))
-    wanted = wanted.withColumnRenamed("lead._rid", "_rid")
     found = docs.select("_rid", "text").dropDuplicates(["_rid"]) if _stated_twice(docs) else docs.select("_rid", "text")
     read = scratch.keep(_windows(found.join(wanted, "_rid").select("_rid", "text", "_wanted"), words, window, 0 if words else group), "windows")
-    scratch.drop("contexts")
+    scratch.drop("contexts", "branching")
 
     edges = read.where("body IS NULL").select("h1", "h2", "_rid", "first")
-    first = edges.groupBy("h1", "h2").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = scratch.keep(edges.groupBy("h1", "h2").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated_windows")
     again = edges.join(first, ["h1", "h2"]).where("NOT (_rid = lead._rid AND first = lead.first)").select("_rid", "first", F.lit(1).alias("count"))
     out = copies.unionByName(again)
     if not words:
