@@ -24,6 +24,9 @@ BANDS, ROWS = 40, 6
 SMALL = 32
 _FRACTION = 24  # bits of a rank behind the point
 _NONE = np.uint64(2**64 - 1)
+#: One bit of each coordinate, in four words.
+BITS = ["b0", "b1", "b2", "b3"]
+assert BANDS * ROWS <= 256
 
 
 def _poisson() -> np.ndarray:
@@ -113,9 +116,9 @@ def _throw(hashes, weights, owner, element, cells, rank_cells, low, high, k, out
 
 
 def sketches(docs: DataFrame, counts: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(_rid, doc_id, text_hash, size, f1, f2, bands, bytes): the number of distinct shingles (their total weight if
-    `counts`), a fingerprint of the set, a hash for each band and a byte for each coordinate."""
-    names = ["_rid", "doc_id", "text_hash", "size", "f1", "f2", "bands", "bytes"]
+    """(_rid, doc_id, text_hash, size, f1, f2, bands, b0 to b3): the number of distinct shingles (their total weight if
+    `counts`), a fingerprint of the set, a hash for each band and a bit for each coordinate."""
+    names = ["_rid", "doc_id", "text_hash", "size", "f1", "f2", "bands", *BITS]
 
     def run(batches):
         factors = textvec.mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
@@ -132,11 +135,13 @@ def sketches(docs: DataFrame, counts: bool = False, bands: int = BANDS, rows: in
                 again = np.append(np.uint64(0), np.cumsum(textvec.mix(item ^ np.uint64(0x1234567)), dtype=np.uint64))
                 size = np.diff(np.append(0, np.cumsum(often))[own]) if counts else np.diff(own)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * bands, pa.int32()), pa.array(key.reshape(-1).view(np.int64)))
-                coarse = pa.array([x.tobytes() for x in (textvec.mix(sig) >> np.uint64(56)).astype(np.uint8)], pa.binary())
-                cols = [*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(size), pa.array((total[own[1:]] - total[own[:-1]]).view(np.int64)), pa.array((again[own[1:]] - again[own[:-1]]).view(np.int64)), lists, coarse]
+                bits = np.zeros((b - a, 4 * 64), np.uint8)
+                bits[:, : bands * rows] = (textvec.mix(sig) & np.uint64(1)).reshape(b - a, -1)
+                words = np.packbits(bits, axis=1).view(np.int64)
+                cols = [*(batch.column(k).slice(a, b - a) for k in range(3)), pa.array(size), pa.array((total[own[1:]] - total[own[:-1]]).view(np.int64)), pa.array((again[own[1:]] - again[own[:-1]]).view(np.int64)), lists, *(pa.array(words[:, i].copy()) for i in range(4))]
                 yield pa.RecordBatch.from_arrays(cols, names)
 
-    return docs.select("_rid", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "_rid long, doc_id long, text_hash long, size long, f1 long, f2 long, bands array<long>, bytes binary")
+    return docs.select("_rid", "doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, "_rid long, doc_id long, text_hash long, size long, f1 long, f2 long, bands array<long>, b0 long, b1 long, b2 long, b3 long")
 
 
 def _sets(docs: DataFrame, counts: bool) -> DataFrame:
@@ -168,28 +173,26 @@ def jaccard(x: bytes, y: bytes, counts: bool) -> float:
     return common_ / max(1, int(wx.sum()) + int(wy.sum()) - common_)
 
 
-def _verified(pairs: DataFrame, sketch: DataFrame, sets: DataFrame, counts: bool, least: float) -> DataFrame:
-    """Those of (a, b) whose sets have the similarity, exactly.
+def _likely(similarity: float, coordinates: int):
+    """Condition on two rows (..., size, bits; named with x or y before) that a similar pair meets.
 
-    Before whole sets meet, pairs go whose signatures agree in so few coordinates that a pair of
-    that similarity would do so with probability below 1e-8: six deviations less than its mean.
+    A pair at the similarity s differs in a coordinate's bit with probability (1 - s) / 2; pairs
+    that differ in six deviations more than that are left out, as is a size ratio below s.
     """
+    p = (1 - similarity) / 2
+    most = int(coordinates * p + 6 * np.sqrt(coordinates * p * (1 - p)))
+    apart = sum((F.bit_count(F.col(f"x{b}").bitwiseXOR(F.col(f"y{b}"))) for b in BITS[1:]), F.bit_count(F.col("xb0").bitwiseXOR(F.col("yb0"))))
+    return (F.least("xsize", "ysize") >= F.greatest("xsize", "ysize") * F.lit(similarity - 1e-9)) & (apart <= most)
 
-    def likely(batches):
-        for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), -1) for k in (2, 3))
-            k = x.shape[1] if len(batch) else 1
-            close = pa.array((x == y).sum(axis=1) >= k * least - 6 * np.sqrt(k * least * (1 - least)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(close), batch.column(1).filter(close)], ["a", "b"])
+
+def _verified(pairs: DataFrame, sets: DataFrame, counts: bool, least: float) -> DataFrame:
+    """Those of (a, b) whose sets have the similarity, exactly."""
 
     def run(batches):
         for batch in batches:
             close = [jaccard(x, y, counts) >= least for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(close, pa.bool_())), batch.column(1).filter(pa.array(close, pa.bool_()))], ["a", "b"])
 
-    for end, other in (("a", "p"), ("b", "q")):
-        pairs = pairs.join(sketch.select(F.col("_rid").alias(end), F.col("bytes").alias(other)), end)
-    pairs = pairs.select("a", "b", "p", "q").mapInArrow(likely, "a long, b long")
     left = sets.select(F.col("_rid").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("_rid").alias("b"), F.col("items").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
@@ -203,6 +206,8 @@ def components(links: DataFrame, scratch: common.Scratch, name: str) -> DataFram
     """
     edges = scratch.keep(links.where("a <> b").select(F.least("a", "b").alias("v"), F.greatest("a", "b").alias("u")).distinct(), f"{name}-0")
     step, before = 0, None
+    if edges.isEmpty():
+        return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # written before it is joined, so that a hot node's edges can be split
@@ -225,15 +230,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, counts: boo
 
     Two texts are linked if the Jaccard similarity of their sets of five-word shingles (`counts`:
     weighted by how often each occurs) is at least `similarity`; a class is all that links connect.
-    text_hash is xxhash64 of the text (null: empty). class_id is its smallest doc_id (nulls first), and that row is kept. Words are
-    [^\\x20\\x09-\\x0D]+, unchanged; fewer than five words are one shingle. A text without words, or
-    null, is like no other and is kept. Rows with equal doc_id and text are one document stated
-    again: the class counts each, and each says whether the document is kept.
+    text_hash is xxhash64 of the text (null: empty). class_id is its smallest doc_id (nulls first),
+    and that row is kept. Words are [^\\x20\\x09-\\x0D]+, unchanged; fewer than five words are one
+    shingle. A text without words, or null, is like no other and is kept. Rows with equal doc_id and
+    text are one document stated again: the class counts each, and each says whether it is kept.
 
     Texts with equal sets meet by fingerprint, and one of each goes on. Candidates share a band.
-    Each group compares with its smallest member first; where that leaves it in several components,
-    with a second centre or, in small groups, pair by pair; what large groups still leave is dealt
-    anew by two bands together, and pairs of different components there are compared to the last.
+    Each group compares with one member first, that which meets most others; where that leaves it in
+    several components, with a second centre or, in small groups, pair by pair; what large groups
+    still leave is dealt anew by two bands together, and likely pairs of different components there
+    are compared to the last.
     """
     spark = docs.sparkSession
     scratch = common.Scratch(spark, "minhash")
@@ -245,44 +251,60 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, counts: boo
     same = scratch.keep(sketch.where("size > 0").groupBy("f1", "f2", "size").agg(F.min("_rid").alias("rep")), "same")
     reps = sketch.join(same.select(F.col("rep").alias("_rid")), "_rid", "left_semi").select("_rid", "size", "bands").dropDuplicates(["_rid"])
     dealt = reps.select(F.explode("bands").alias("key"), "_rid", "size")
-    groups = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("_rid", "size")).alias("centre")).where("m > 1")
+    groups = dealt.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
     groups = scratch.keep(groups, "groups")  # so that a hot band's rows can be split as they meet it
     members = scratch.keep(dealt.join(groups, "key"), "members")
+    # the centre of a group is whoever meets most others in all its groups: it tends to be what the
+    # others were copied from, and is near to most of them
+    met = members.groupBy("_rid").agg(F.sum("m").alias("met")).join(sketch.select("_rid", *BITS).dropDuplicates(["_rid"]), "_rid")
+    members = scratch.keep(members.select("key", "_rid", "size").join(scratch.keep(met, "met"), "_rid"), "met_members")
+    one = ["_rid", "size", *BITS]
+    centres = scratch.keep(members.groupBy("key").agg(F.max(F.struct("met", (-F.col("_rid")).alias("less"), *one)).alias("c")).select("key", *[F.col(f"c.{n}").alias(f"x{n}") for n in one]), "centres")
+    members = members.select("key", *one)
     wanted = members.select("_rid").distinct()
     sets = scratch.keep(_sets(keyed.select("_rid", "text").join(wanted, "_rid", "left_semi").dropDuplicates(["_rid"]), counts), "sets")
+    likely = _likely(similarity, BANDS * ROWS)
+
+    def named(rows: DataFrame, side: str) -> DataFrame:
+        return rows.select("key", *[F.col(n).alias(f"{side}{n}") for n in rows.columns if n in (*one, "root")])
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("x_rid").alias("a"), F.col("y_rid").alias("b"))
 
-    coarse = scratch.keep(sketch.select("_rid", "bytes").join(wanted, "_rid", "left_semi").dropDuplicates(["_rid"]), "coarse")
-    near = F.least("sa", "sb") >= F.greatest("sa", "sb") * F.lit(similarity - 1e-9)
-    star = members.select(F.col("centre._rid").alias("a"), F.col("_rid").alias("b"), F.col("centre.size").alias("sa"), F.col("size").alias("sb"))
-    links = scratch.keep(_verified(star.where((F.col("a") != F.col("b")) & near).select("a", "b").distinct(), coarse, sets, counts, similarity), "links-1")
+    star = pairs(centres.join(named(members, "y"), "key").where(likely & (F.col("x_rid") != F.col("y_rid"))))
+    links = scratch.keep(_verified(star.distinct(), sets, counts, similarity), "links-1")
     roots = components(links, scratch, "roots-1")
 
     def in_parts(rows: DataFrame, roots: DataFrame, name: str) -> DataFrame:
         """Rows of the groups that still have several components, with root, and the group's size."""
         own = rows.join(roots.withColumnRenamed("node", "_rid"), "_rid", "left").withColumn("root", F.coalesce("root", "_rid"))
         own = scratch.keep(own, f"{name}-own")
-        split = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct("_rid", "size", "root"), F.xxhash64("_rid")).alias("centre"))
+        split = own.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("root").alias("r0"), F.max("root").alias("r1"), F.min_by(F.struct(*one, "root"), F.xxhash64("_rid")).alias("centre"))
         split = scratch.keep(split.where("r0 <> r1").select("key", "m", "centre"), f"{name}-split")
-        return own.join(split, "key").select("key", "_rid", "size", "root", "m", "centre")
+        return own.join(split, "key").select("key", *one, "root", "m", "centre")
 
     def crossed(rows: DataFrame) -> DataFrame:
-        x = rows.select("key", F.col("_rid").alias("a"), F.col("size").alias("sa"), F.col("root").alias("ra"))
-        y = rows.select("key", F.col("_rid").alias("b"), F.col("size").alias("sb"), F.col("root").alias("rb"))
-        return x.join(y, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & near).select("a", "b")
-
-    rest = scratch.keep(in_parts(members.select("key", "_rid", "size"), roots, "rest-2"), "rest-2")
-    centred = rest.where((F.col("m") > small) & (F.col("root") != F.col("centre.root"))).select(F.col("centre._rid").alias("a"), F.col("_rid").alias("b"), F.col("centre.size").alias("sa"), F.col("size").alias("sb")).where(near).select("a", "b")
-    tried = crossed(rest.where(F.col("m") <= small)).unionByName(centred).distinct()
-    links = scratch.keep(links.unionByName(_verified(tried, coarse, sets, counts, similarity)), "links-2")
-    roots = components(links, scratch, "roots-2")
-
-    large = in_parts(rest.where(F.col("m") > small).select("key", "_rid", "size"), roots, "large").select("key", "_rid", "size")
-    again = large.join(reps.select("_rid", "bands"), "_rid").select(F.explode("bands").alias("other"), "key", "_rid", "size").where("other <> key")
-    pairs_of_bands = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), "_rid", "size").distinct()
-    rest = in_parts(pairs_of_bands, roots, "rest-3")
-    links = scratch.keep(links.unionByName(_verified(crossed(rest).distinct(), coarse, sets, counts, similarity)), "links-3")
-    roots = scratch.keep(components(links, scratch, "roots-3"), "roots")
-    scratch.drop("members", "sets", "rest-2")
+        """Likely pairs of different components; the test is part of the join, so that others never
+        become rows."""
+        x, y = named(rows, "x"), named(rows, "y")
+        return pairs(x.join(y, "key").where((F.col("x_rid") < F.col("y_rid")) & (F.col("xroot") != F.col("yroot")) & likely))
+
+    rest = scratch.keep(in_parts(members, roots, "rest-2"), "rest-2")
+    if not rest.isEmpty():
+        far = rest.where((F.col("m") > small) & (F.col("root") != F.col("centre.root")))
+        centred = pairs(far.select("key", *[F.col(f"centre.{n}").alias(f"x{n}") for n in one], *[F.col(n).alias(f"y{n}") for n in one]).where(likely))
+        tried = crossed(rest.where(F.col("m") <= small)).unionByName(centred).distinct()
+        new = scratch.keep(_verified(tried, sets, counts, similarity), "links-2")
+        if not new.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), scratch, "roots-2")
+    large = rest.where(F.col("m") > small).select("key", *one)
+    if not large.isEmpty():
+        again = in_parts(large, roots, "large").select("key", *one).join(reps.select("_rid", "bands"), "_rid").select(F.explode("bands").alias("other"), "key", *one).where("other <> key")
+        by_two = again.select(F.xxhash64(F.least("key", "other"), F.greatest("key", "other")).alias("key"), *one).distinct()
+        new = scratch.keep(_verified(crossed(in_parts(by_two, roots, "rest-3")).distinct(), sets, counts, similarity), "links-3")
+        if not new.isEmpty():
+            roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), scratch, "roots-3")
+    scratch.drop("members", "met_members", "sets", "rest-2")
 
     classes = same.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select("f1", "f2", "size", F.coalesce("root", "rep").alias("_class"))
     rows = sketch.select("_rid", "doc_id", "text_hash", "f1", "f2", "size").join(classes, ["f1", "f2", "size"], "left").withColumn("_class", F.coalesce("_class", "_rid"))
