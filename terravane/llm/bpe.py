@@ -3,7 +3,9 @@
 Symbols of many words lie in one flat array. A round finds every adjacent pair's rank by binary
 search over sorted pair keys, takes each word's lowest, merges all its occurrences from the left
 and looks up only the pairs that changed. Distinct words are merged once: an open-addressing
-table of word hashes leads to their ids, so a text is split, hashed and gathered as arrays.
+table of word hashes leads to their ids, so a text is split, hashed and gathered as arrays. Every
+word found is compared with the table's own characters; texts with a word that differs, as hashes
+can collide, take the way of the next paragraph.
 
 Texts in scripts outside the split table, or with the strings of special tokens, are split by the
 tokenizers library itself and then merged by the same rounds.
@@ -161,6 +163,13 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
     return flat[np.arange(total) + np.repeat(start - (ends - size), size)]
 
 
+def _with_room(a: np.ndarray, n: int) -> np.ndarray:
+    """The array, doubled until it holds n."""
+    while n > len(a):
+        a = np.concatenate([a, np.zeros_like(a)])
+    return a
+
+
 class Encoder:
     """Text to ids. Keeps the ids of up to `words` distinct pre-tokens, then starts anew."""
 
@@ -168,7 +177,6 @@ class Encoder:
         self.merges, self.limit = Merges(path), words
         self._library = None
         self._reset()
-        self._special_key = {c: self._key(b"\0" + c.encode()) for c in self.merges.special}
         longest = max((len(t.encode()) for t in self.merges.tokens.values()), default=1)
         assert longest < 1 << 16
         names = [(self.merges.tokens.get(i, "") + " ").encode() for i in range(self.merges.size)]
@@ -180,51 +188,54 @@ class Encoder:
         self.table = HashTable()
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.chars, self.chars_used = np.zeros(1 << 16, np.uint16), 0
+        self.char_start, self.char_size = np.zeros(1 << 15, np.int64), np.zeros(1 << 15, np.int64)
+        self.by_word: dict[bytes, np.ndarray] = {}
 
-    @staticmethod
-    def _key(word: bytes) -> int:
-        return int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little") | 1
-
-    def _library_words(self, text: str) -> tuple[list[int], list[bytes | int]]:
-        """Keys and bytes of a text's pre-tokens (an id for a special token), by the library."""
+    def _library_ids(self, text: str) -> np.ndarray:
+        """Ids of a text that the library splits; its words are merged by the same rounds."""
         if self._library is None:
             from tokenizers import Tokenizer
 
             self._library = Tokenizer.from_file(self.merges.path)
             self._byte = {c: b for b, c in enumerate(byte_alphabet())}
-        keys: list[int] = []
         words: list[bytes | int] = []
         at = 0
         while at <= len(text):
-            found = min(((i, c) for c in self.merges.special if (i := text.find(c, at)) >= 0), default=(len(text), ""))
+            found = min(((i, -len(c), c) for c in self.merges.special if (i := text.find(c, at)) >= 0), default=(len(text), 0, ""))
             part = text[at : found[0]]
             if part:
                 normal = self._library.normalizer.normalize_str(part) if self._library.normalizer else part
-                for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(normal):
-                    words.append(word := bytes(map(self._byte.__getitem__, piece)))
-                    keys.append(self._key(word))
-            if not found[1]:
+                words += [bytes(map(self._byte.__getitem__, piece)) for piece, _ in self._library.pre_tokenizer.pre_tokenize_str(normal)]
+            if not found[2]:
                 break
-            words.append(self.merges.special[found[1]])
-            keys.append(self._special_key[found[1]])
-            at = found[0] + len(found[1])
-        return keys, words
-
-    def _append(self, keys: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
+            words.append(self.merges.special[found[2]])
+            at = found[0] + len(found[2])
+        new = list({w for w in words if isinstance(w, bytes) and w not in self.by_word})
+        if new:
+            ids, count = self.merges.merge(np.frombuffer(b"".join(new), np.uint8), np.append(0, np.cumsum([len(w) for w in new])))
+            self.by_word.update(zip(new, np.split(ids.astype(np.uint32), np.cumsum(count)[:-1])))
+        return np.concatenate([np.zeros(0, np.uint32), *(self.by_word[w] if isinstance(w, bytes) else np.array([w], np.uint32) for w in words)])
+
+    def _append(self, keys: np.ndarray, chars: np.ndarray, char_size: np.ndarray, ids: np.ndarray, count: np.ndarray) -> None:
         n, m = self.table.count, len(keys)
         self.table.add(keys)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + m > len(self.start):
-            self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
+        self.flat = _with_room(self.flat, self.used + len(ids))
+        self.chars = _with_room(self.chars, self.chars_used + len(chars))
+        for name in ("start", "size", "char_start", "char_size"):
+            setattr(self, name, _with_room(getattr(self, name), n + m))
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[n : n + m] = self.used + np.cumsum(count) - count
         self.size[n : n + m] = count
+        self.chars[self.chars_used : self.chars_used + len(chars)] = chars
+        self.char_start[n : n + m] = self.chars_used + np.cumsum(char_size) - char_size
+        self.char_size[n : n + m] = char_size
         self.used += len(ids)
+        self.chars_used += len(chars)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32, flat) of UTF-8 texts and each text's offsets in them."""
-        if self.table.count > self.limit:
+        if self.table.count + len(self.by_word) > self.limit:
             self._reset()
         texts = len(offsets) - 1
         cps, off = textvec.code_points(data, offsets)
@@ -240,47 +251,42 @@ class Encoder:
             while at >= 0:
                 slow[np.searchsorted(offsets, at, "right") - 1] = True
                 at = raw.find(special.encode(), at + 1)
-        if self.merges.words:
-            cps = textvec.LOWER[inside]
-        start, end = textvec.split(cps, kind, off, self.merges.words)
+        # code points that the table knows have 16 bits; other texts go to the library
+        chars = (textvec.LOWER[inside] if self.merges.words else inside).astype(np.uint16)
+        start, end = textvec.split(chars, kind, off, self.merges.words)
         text = np.repeat(np.arange(texts), np.diff(np.searchsorted(start, off)))
         if slow.any():
             kept = ~slow[text]
             start, end, text = start[kept], end[kept], text[kept]
-        symbols = textvec.SYMBOL[cps if cps.size == 0 or cps.max() < len(textvec.SYMBOL) else np.minimum(cps, len(textvec.SYMBOL) - 1)]
-        keys = textvec.PrefixHash(symbols).spans(start, end) | np.uint64(1)
+        keys = self._keys(chars, start, end)
         seen = self.table.find(keys)
         if len(missing := np.flatnonzero(seen < 0)):
             new, first = np.unique(keys[missing], return_index=True)
             first = missing[first]
             size = end[first] - start[first]
-            chars = gather(cps, start[first], size)
-            wide = np.ones(len(chars), np.int64) + (chars >= 0x80) + (chars >= 0x800)
-            ends = np.cumsum(size)
+            own = gather(chars, start[first], size)
+            wide = np.ones(len(own), np.int64) + (own >= 0x80) + (own >= 0x800)
             byte_ends = np.append(0, np.cumsum(wide))
-            word_off = np.append(0, byte_ends[ends])
-            flat = np.frombuffer(chars.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
-            self._append(new, *self.merges.merge(flat, word_off))
+            word_off = np.append(0, byte_ends[np.cumsum(size)])
+            flat = np.frombuffer(own.astype("<u4").tobytes().decode("utf-32-le").encode(), np.uint8)
+            self._append(new, own, size, *self.merges.merge(flat, word_off))
             seen[missing] = self.table.find(keys[missing])
-        for i in np.flatnonzero(slow):
-            own, words = self._library_words(raw[offsets[i] : offsets[i + 1]].decode())
-            own_keys = np.array(own, np.uint64)
-            new, first = np.unique(own_keys, return_index=True)
-            absent = self.table.find(new) < 0
-            new, first = new[absent], first[absent]
-            for key, word in ((k, words[j]) for k, j in zip(new, first) if isinstance(words[j], int)):
-                self._append(np.array([key], np.uint64), np.array([word]), np.array([1]))
-            plain = [(k, words[j]) for k, j in zip(new, first) if isinstance(words[j], bytes)]
-            if plain:
-                joined = np.frombuffer(b"".join(w for _, w in plain), np.uint8)
-                self._append(np.array([k for k, _ in plain], np.uint64), *self.merges.merge(joined, np.append(0, np.cumsum([len(w) for _, w in plain]))))
-            at = np.searchsorted(text, i)
-            seen = np.concatenate([seen[:at], self.table.find(own_keys), seen[at:]])
-            text = np.concatenate([text[:at], np.full(len(own), i), text[at:]])
+        same = self.char_size[seen] == end - start
+        same[same] = textvec.same_spans(chars, start[same], self.chars, self.char_start[seen[same]], self.char_size[seen[same]])
+        if not same.all():
+            slow[text[~same]] = True
+            kept = ~slow[text]
+            seen, text = seen[kept], text[kept]
         size = self.size[seen]
         ids = gather(self.flat, self.start[seen], size)
-        bounds = np.searchsorted(text, np.arange(texts + 1))
-        return ids, np.append(0, np.cumsum(size))[bounds]
+        bounds = np.append(0, np.cumsum(size))[np.searchsorted(text, np.arange(texts + 1))]
+        if not slow.any():
+            return ids, bounds
+        parts = [self._library_ids(raw[offsets[i] : offsets[i + 1]].decode()) if slow[i] else ids[bounds[i] : bounds[i + 1]] for i in range(texts)]
+        return np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
+
+    def _keys(self, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return textvec.hash_spans(chars, start, end) | np.uint64(1)
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 of decode(ids, skip_special_tokens=False), as the library gives it."""

@@ -50,24 +50,19 @@ class Lattice:
         self.size = len(pieces)
         flat = np.frombuffer("".join(pieces).encode("utf-32-le"), np.uint32)
         ends = np.cumsum([len(p) for p in pieces])
-        keys = textvec.PrefixHash(self._symbols(flat)).spans(ends - [len(p) for p in pieces], ends) | np.uint64(1)
+        keys = textvec.hash_spans(flat, ends - [len(p) for p in pieces], ends) | np.uint64(1)
         self.table = HashTable(18)
         self.table.add(keys)
 
-    @staticmethod
-    def _symbols(cps: np.ndarray) -> np.ndarray:
-        return textvec.mix(cps.astype(np.uint64) + np.uint64(0x51ED27)) | np.uint64(1)
-
     def cuts(self, cps: np.ndarray, start: np.ndarray, size: np.ndarray) -> list[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
         """For each end position 1, 2, ...: (words, their position where the piece begins, piece).
         A character that is no piece is one of number `size`, the unknown."""
-        hashes = textvec.PrefixHash(self._symbols(cps))
         out = []
         for end in range(1, int(size.max(initial=0)) + 1):
             words = np.flatnonzero(size >= end)
             here = []
             for begin in range(max(0, end - LONGEST_PIECE), end):
-                piece = self.table.find(hashes.spans(start[words] + begin, start[words] + end) | np.uint64(1))
+                piece = self.table.find(textvec.hash_spans(cps, start[words] + begin, start[words] + end) | np.uint64(1))
                 if end - begin == 1:
                     piece = np.where(piece < 0, self.size, piece)
                 known = piece >= 0
@@ -167,7 +162,7 @@ class Scorer:
             self._reset()
         cps, off = textvec.code_points(data, offsets)
         low, start, end = word_spans(cps, off)
-        keys = textvec.PrefixHash(Lattice._symbols(low)).spans(start, end) | np.uint64(1)
+        keys = textvec.hash_spans(low, start, end) | np.uint64(1)
         at = self.table.find(keys)
         if len(missing := np.flatnonzero(at < 0)):
             new, first = np.unique(keys[missing], return_index=True)

@@ -25,12 +25,11 @@ from .bpe import gather
 GROUP = 4096
 #: Symbols in a suffix block, about.
 BLOCK = 700_000
-_SECOND = np.random.default_rng(77).integers(1, 2**63, 0x100, dtype=np.uint64) | np.uint64(1)
 
 
 def _sequence(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
     if not words:
-        return textvec.SYMBOL[data], offsets
+        return data, offsets
     _, _, symbols, off = superkmers.word_symbols(data, offsets)
     return symbols, off
 
@@ -76,11 +75,7 @@ def _windows(found: DataFrame, words: bool, window: int, group: int) -> DataFram
                 rid = rids[a:b][doc]
                 if each.any():
                     at = gather(np.arange(len(symbols) + 1), start[each], count[each].astype(np.int64))
-                    if words:
-                        second = textvec.mix(symbols ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1)
-                    else:
-                        second = _SECOND[text]
-                    h1, h2 = (textvec.PrefixHash(s).spans(at, at + window).view(np.int64) for s in (symbols, second))
+                    h1, h2 = (textvec.hash_spans(symbols, at, at + window, seed).view(np.int64) for seed in (0, 1))
                     n = len(at)
                     firsts = gather(np.arange(len(symbols) + 1), first[each].astype(np.int64), count[each].astype(np.int64))
                     cols = [pa.array(np.repeat(anchor[each], count[each])), pa.array(np.repeat(rid[each], count[each])), pa.array(firsts.astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(h1), pa.array(h2)]

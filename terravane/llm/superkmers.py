@@ -35,8 +35,7 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Ru
     none = np.zeros(0, np.int64)
     if len(symbols) < window:
         return Runs(none, none, none, none, none)
-    hashes = textvec.PrefixHash(symbols)
-    grams = hashes.windows(gram)
+    grams = textvec.hash_windows(symbols, gram)
     # the low byte is the distance to the least gram; leftmost wins, as the distance grows
     least, width = grams & ~_DISTANCE, 1
     while width < spread:
@@ -58,7 +57,7 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Ru
     # a run ends before the next begins, or with the last window of its text
     text = np.searchsorted(ends, begin, "right")
     stop = np.minimum(np.append(begin[1:], n), ends[text] - window + 1)
-    return Runs(text, begin - starts[text], stop - begin, grams[at[begin]].view(np.int64), hashes.spans(begin, stop + window - 1).view(np.int64))
+    return Runs(text, begin - starts[text], stop - begin, grams[at[begin]].view(np.int64), textvec.hash_spans(symbols, begin, stop + window - 1).view(np.int64))
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -72,5 +71,5 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     before[1:], after[:-1] = gap[:-1], gap[1:]
     start = np.flatnonzero(word & (before | edge[:-1]))
     end = np.flatnonzero(word & (after | edge[1:])) + 1
-    symbols = textvec.PrefixHash(textvec.SYMBOL[data]).spans(start, end) | np.uint64(1)
+    symbols = textvec.hash_spans(data, start, end)
     return start, end, symbols, np.searchsorted(start, offsets)

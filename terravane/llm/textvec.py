@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 
 import numpy as np
@@ -28,25 +29,11 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 
 KIND, LOWER = _tables()
-_random = np.random.default_rng(20240607)
-SYMBOL = _random.integers(1, 2**63, 0x10000, dtype=np.uint64) | np.uint64(1)
-BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_powers: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
-    if len(_powers.get("up", ())) < n:
-        m = max(n, 1 << 16)
-        for key, base in (("up", BASE), ("down", _INVERSE)):
-            a = np.full(m, base, np.uint64)
-            a[0] = 1
-            _powers[key] = np.cumprod(a, dtype=np.uint64)
-    up, down = _powers["up"][:n], _powers["down"][:n]
-    if len(_powers["up"]) > 1 << 22:  # those of a very long text aren't kept
-        _powers.clear()
-    return up, down
+#: Byte blocks of a span that are hashed in rounds; longer spans take a digest each.
+_LONG = 4096
+_C = np.uint64(0xD6E8FEB86659FD93)
+_HALF = np.uint64(32)
+_MASK = np.array([*((1 << 8 * i) - 1 for i in range(8)), 2**64 - 1], np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -59,20 +46,75 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class PrefixHash:
-    """Hashes of any span of a symbol sequence in constant time each."""
+def blocks(units: np.ndarray) -> np.ndarray:
+    """The eight bytes from every byte on, as an integer; bytes behind the end are 0."""
+    raw = np.concatenate([np.ascontiguousarray(units).view(np.uint8), np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) - 7, np.dtype("<u8"), raw.data, strides=(1,))
 
-    def __init__(self, symbols: np.ndarray):
-        up, self.down = powers(len(symbols) + 1)
-        self.sums = np.zeros(len(symbols) + 1, np.uint64)
-        np.cumsum(symbols * up[:-1], dtype=np.uint64, out=self.sums[1:])
 
-    def spans(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * self.down[start])
+def hash_spans(units: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of spans of bytes, code points or 64-bit symbols, eight bytes a round.
 
-    def windows(self, size: int) -> np.ndarray:
-        n = len(self.sums) - size
-        return mix((self.sums[size:] - self.sums[:-size]) * self.down[:n]) if n > 0 else np.zeros(0, np.uint64)
+    A round is a product and a shift, so sums or powers of symbols play no part; spans of one
+    length up to eight bytes never collide.
+    """
+    view, wide = blocks(units), units.itemsize
+    at, size = np.asarray(start, np.int64) * wide, (np.asarray(end, np.int64) - start) * wide
+    out = (size.astype(np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)
+    done, live = 0, np.arange(len(size))
+    far = size > _LONG
+    if far.any():
+        raw = np.ascontiguousarray(units).view(np.uint8)
+        for i in np.flatnonzero(far):
+            key = seed.to_bytes(8, "little")
+            out[i] = int.from_bytes(hashlib.blake2b(raw[at[i] : at[i] + size[i]].data, digest_size=8, key=key).digest(), "little")
+        live = np.flatnonzero(~far)
+    while len(live):
+        now = (out[live] ^ (view[at[live] + done] & _MASK[np.minimum(size[live] - done, 8)])) * _C
+        now ^= now >> _HALF
+        out[live] = now
+        done += 8
+        live = live[size[live] > done]
+    return mix(out)
+
+
+def hash_windows(units: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
+    """Hashes of every window of `size` bytes or 64-bit symbols, by start."""
+    n = len(units) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    if units.itemsize == 8:
+        view, steps = units.view(np.uint64), range(size)
+    elif size >= 8:
+        view, steps = blocks(units), [*range(0, size - 8, 8), size - 8]
+    else:
+        view, steps = blocks(units) & _MASK[size], [0]
+    out = np.full(n, np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
+    for at in steps:
+        out ^= view[at : at + n]
+        out *= _C
+        out ^= out >> _HALF
+    return mix(out)
+
+
+def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Is a[a_start : a_start + size] equal to b[b_start : b_start + size], for every span."""
+    wide = a.itemsize
+    x, y = blocks(a), blocks(b)
+    at, to, size = np.asarray(a_start, np.int64) * wide, np.asarray(b_start, np.int64) * wide, np.asarray(size, np.int64) * wide
+    out = np.ones(len(size), bool)
+    live, done = np.flatnonzero(size > 0), 0
+    while len(live):
+        equal = (x[at[live] + done] ^ y[to[live] + done]) & _MASK[np.minimum(size[live] - done, 8)] == 0
+        out[live[~equal]] = False
+        done += 8
+        live = live[equal & (size[live] > done)]
+        if done >= _LONG and len(live):
+            p, q = (np.ascontiguousarray(v).view(np.uint8) for v in (a, b))
+            for i in live:
+                out[i] = np.array_equal(p[at[i] + done : at[i] + size[i]], q[to[i] + done : to[i] + size[i]])
+            break
+    return out
 
 
 def code_points(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -32,6 +32,30 @@ def test_ids_and_text_are_the_librarys(texts):
             assert bpe.encoder(FILES[name]).decode(got).decode() == library.decode(want, skip_special_tokens=False)
 
 
+def thue_morse(n):
+    """A word and its complement, which sums of symbols times powers can't tell apart."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("n", [512, 1024, 2048, 8192])
+def test_words_that_weak_hashes_confuse(n):
+    texts = [*thue_morse(n), " ".join(thue_morse(n))]
+    for name, library in LIBRARY.items():
+        for text, got in zip(texts, mine(name, texts)):
+            assert got.tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_words_whose_hashes_collide(few_docs, monkeypatch):
+    monkeypatch.setattr(bpe.Encoder, "_keys", lambda self, chars, start, end: (chars[start].astype(np.uint64) % np.uint64(3)) + np.uint64(1 << 62))
+    texts = [r.text for r in few_docs.limit(20).collect()] + ["a b", "d", "", "e d a d"]
+    for name, library in LIBRARY.items():
+        enc = bpe.Encoder(FILES[name])
+        ids, off = enc.encode(*common.text_view(pa.array(texts, pa.string())))
+        for text, a, b in zip(texts, off[:-1], off[1:]):
+            assert ids[a:b].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 def test_digests(few_docs, odd_docs, no_docs):
     library = LIBRARY["word_bpe_49k.json"]
     for docs in (few_docs, odd_docs):
