@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -60,12 +61,32 @@ def free_shuffles(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+_ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small(rows: int) -> dict[str, str]:
+    """Settings that bound what an Arrow batch of whole texts takes of an executor's memory."""
+    return {_ROWS: str(rows), _BYTES: str(16 << 20)}
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
-    """Bound what an Arrow batch of whole texts takes of an executor's memory."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) <= 0 or int(spark.conf.get(key)) > rows:
-        spark.conf.set(key, str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Those settings for the session, for what a caller runs later: a stricter one stays."""
+    if not 0 < int(spark.conf.get(_ROWS)) <= rows:
+        spark.conf.set(_ROWS, str(rows))
+    spark.conf.set(_BYTES, small(rows)[_BYTES])
+
+
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session's settings within a block, and as they were behind it."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -78,11 +99,11 @@ def with_row_key(docs: DataFrame, scratch: Scratch) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).drop("_rid")
     if not has_odd_keys(docs):
         return docs.select(F.col("doc_id").alias("_rid"), "*")
-    keyed = docs.withColumn("_h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    ranked = global_index(keyed.select("doc_id", "_h").distinct(), ["doc_id", "_h"], scratch, "_rid")
-    a, b = keyed.alias("a"), ranked.alias("b")
-    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a._h") == F.col("b._h")))
-    return joined.select("b._rid", *[F.col(f"a.`{c}`") for c in docs.columns])
+    mine = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    ranked = global_index(mine.select("doc_id", "h").distinct(), ["doc_id", "h"], scratch, "_rid")
+    a, b = mine.alias("a"), ranked.alias("b")
+    joined = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.h") == F.col("b.h")))
+    return joined.select("b._rid", "a.row.*")
 
 
 def has_odd_keys(docs: DataFrame) -> bool:

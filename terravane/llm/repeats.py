@@ -1,41 +1,42 @@
-"""Windows that also start earlier, over whole corpora: the search below both substring operators.
+"""What both substring operators need to find windows that also start earlier, over whole corpora.
 
-1. Every window travels in its run (superkmers.py): one record (anchor, context) for all windows
-   of a text that share a minimizer.
-2. Runs whose anchor occurs once hold no repeat and go. Of the others, equal runs are summed to
-   their earliest occurrence; every later one repeats it in all its windows.
-3. Only anchors with several contexts are left to decide window by window, on one occurrence of
-   each context. Their text is read back by its source coordinates.
+Windows leave their texts in runs that share a minimizer (superkmers.py), as (anchor, context). Runs
+whose anchor occurs once hold no repeat. Equal runs are joined to their first occurrence; what
+else an anchor's windows share, each operator finds by its own method. An occurrence is (_rid,
+first, count, lead_rid, lead_first): `count` windows from `first` on, equal to those of the lead.
 
-No step gathers the rows of a key: they meet in sums and in joins that can be split.
+Hashes only propose. Occurrences are put together to long spans, and each is compared with its lead
+at their places in the texts by a cryptographic digest; should one differ, all is done anew with
+other hashes.
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import bwt, common, superkmers, textvec
+from . import common, superkmers
 from .bpe import gather
 
-#: Contexts of one anchor that a suffix block takes together; those of an anchor with more meet
-#: window by window.
-GROUP = 4096
-#: Symbols in a suffix block, about.
-BLOCK = 700_000
+#: Sets of hashes that are tried. A second is only ever needed if two of 128 bits collide.
+SEEDS = 8
 
 
-def _sequence(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+def sequence(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes, or a symbol for each word, and each text's offsets in them."""
     if not words:
         return data, offsets
     _, _, symbols, off = superkmers.word_symbols(data, offsets)
     return symbols, off
 
 
-def all_runs(docs: DataFrame, words: bool, window: int, gram: int) -> DataFrame:
-    """(anchor, context, _rid, first, count) of every run of windows."""
+def shared_runs(docs: DataFrame, scratch: common.Scratch, words: bool, window: int, gram: int, seed: int) -> DataFrame:
+    """(anchor, context, _rid, first, count) of the runs whose anchor occurs more than once."""
     names = ["anchor", "context", "_rid", "first", "count"]
 
     def run(batches):
@@ -44,139 +45,132 @@ def all_runs(docs: DataFrame, words: bool, window: int, gram: int) -> DataFrame:
             rid = np.asarray(batch.column(0))
             for a, b in common.chunks(offsets):
                 part = offsets[a : b + 1]
-                got = superkmers.runs(*_sequence(data[part[0] : part[-1]], part - part[0], words), window, gram)
+                got = superkmers.runs(*sequence(data[part[0] : part[-1]], part - part[0], words), window, gram, seed)
                 cols = got.anchor, got.context, rid[a:b][got.text], got.first.astype(np.int32), got.count.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    return docs.select("_rid", "text").mapInArrow(run, "anchor long, context long, _rid long, first int, count int")
+    every = scratch.keep(docs.select("_rid", "text").mapInArrow(run, "anchor long, context long, _rid long, first int, count int"), f"runs-{seed}")
+    # written before it is joined: only between two plain exchanges can a hot key's rows be split
+    shared = scratch.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), f"shared-{seed}")
+    runs = scratch.keep(every.join(shared, "anchor"), f"shared_runs-{seed}")
+    scratch.drop(f"runs-{seed}", f"shared-{seed}")
+    return runs
 
 
-def _windows(found: DataFrame, words: bool, window: int, group: int) -> DataFrame:
-    """Contexts at source coordinates, read back: (anchor, _rid, first, body) where an anchor has at
-    most `group`, else (_rid, first, h1, h2) for each window, h1 and h2 being independent."""
-    names = ["anchor", "_rid", "first", "body", "h1", "h2"]
+def joined_to_first(rows: DataFrame, key: list[str], scratch: common.Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """(key..., lead, n, count) of each different key, its lead being the first in order of (_rid,
+    first), and the occurrences of all other rows. A key's rows meet in sums and in a join."""
+    lead = F.min(F.struct("_rid", "first"))
+    different = scratch.keep(rows.groupBy(*key).agg(lead.alias("lead"), F.count(F.lit(1)).alias("n"), F.max("count").alias("count")), f"{name}-leads")
+    again = different.where("n > 1").select(*key, "lead")
+    later = rows.join(again, key).where("NOT (_rid = lead._rid AND first = lead.first)")
+    return different, later.select("_rid", "first", "count", F.col("lead._rid").alias("lead_rid"), F.col("lead.first").alias("lead_first"))
 
-    def run(batches):
-        for batch in batches:
-            data, offsets = common.text_view(batch.column(1))
-            lists = batch.column(2)
-            begin, items = np.asarray(lists.offsets, np.int64), lists.values
-            own = {k: np.asarray(items.field(k)) for k in ("anchor", "first", "count", "contexts")}
-            rids = np.asarray(batch.column(0))
-            for a, b in common.chunks(offsets):
-                part = offsets[a : b + 1]
-                text = data[part[0] : part[-1]]
-                here = slice(begin[a], begin[b])
-                doc = np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))
-                symbols, off = _sequence(text, part - part[0], words)
-                anchor, first, count, many = (own[k][here] for k in ("anchor", "first", "count", "contexts"))
-                start = off[doc] + first
-                each = many > group
-                rid = rids[a:b][doc]
-                if each.any():
-                    at = gather(np.arange(len(symbols) + 1), start[each], count[each].astype(np.int64))
-                    h1, h2 = (textvec.hash_spans(symbols, at, at + window, seed).view(np.int64) for seed in (0, 1))
-                    n = len(at)
-                    firsts = gather(np.arange(len(symbols) + 1), first[each].astype(np.int64), count[each].astype(np.int64))
-                    cols = [pa.array(np.repeat(anchor[each], count[each])), pa.array(np.repeat(rid[each], count[each])), pa.array(firsts.astype(np.int32)), pa.nulls(n, pa.binary()), pa.array(h1), pa.array(h2)]
-                    yield pa.RecordBatch.from_arrays(cols, names)
-                if not each.all():
-                    few = ~each
-                    size = count[few].astype(np.int64) + window - 1
-                    flat = gather(text, start[few], size)
-                    body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
-                    none = pa.nulls(len(size), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[few]), pa.array(rid[few]), pa.array(first[few]), body, none, none], names)
-
-    return found.mapInArrow(run, "anchor long, _rid long, first int, body binary, h1 long, h2 long")
-
-
-def _suffix_blocks(contexts: DataFrame, window: int) -> DataFrame:
-    """(_rid, first, count) of windows that repeat one of the same anchor's earlier contexts."""
-
-    def solve(parts: list[pa.RecordBatch]):
-        table = pa.Table.from_batches(parts).combine_chunks()
-        anchor, rid, first = (np.asarray(table.column(k).combine_chunks()) for k in range(3))
-        data, off = common.text_view(table.column(3))
-        starts, class_ = bwt.repeat_classes(data, off, window)
-        string = np.searchsorted(off, starts, "right") - 1
-        at = first[string] + starts - off[string]
-        # equal windows have equal anchors, so classes need no anchor; the earliest member stays
-        order = np.lexsort((at, rid[string], class_))
-        head = np.append(True, class_[order][1:] != class_[order][:-1]) if len(order) else np.zeros(0, bool)
-        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
-        again = np.zeros(len(starts), bool)
-        again[order] = (rid[string[order]] != rid[string[lead]]) | (at[order] != at[lead])
-        hit = np.flatnonzero(again)
-        if len(hit):
-            fresh = np.append(True, (hit[1:] != hit[:-1] + 1) | (string[hit[1:]] != string[hit[:-1]]))
-            begin = hit[fresh]
-            count = np.diff(np.append(np.flatnonzero(fresh), len(hit)))
-            yield pa.RecordBatch.from_arrays([pa.array(rid[string[begin]]), pa.array(at[begin].astype(np.int32)), pa.array(count.astype(np.int32))], ["_rid", "first", "count"])
 
-    def run(batches):
-        held, symbols = [], 0
-        for batch in batches:
-            # whole anchors only: what may still continue stays for the next block
-            anchor = np.asarray(batch.column(0))
-            cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else []
-            ends = common.text_view(batch.column(3))[1]
-            at = 0
-            for c in cut:
-                joins = c == 0 and held and held[-1].column(0)[len(held[-1]) - 1].as_py() == anchor[0]
-                if not joins and symbols + ends[c] - ends[at] >= BLOCK:
-                    if c > at:
-                        held.append(batch.slice(at, c - at))
-                    yield from solve(held)
-                    held, symbols, at = [], 0, c
-            if at < len(anchor):
-                held.append(batch.slice(at))
-                symbols += int(ends[-1] - ends[at])
-        if held:
-            yield from solve(held)
-
-    grouped = contexts.select("anchor", "_rid", "first", "body").repartition("anchor").sortWithinPartitions("anchor")
-    return grouped.mapInArrow(run, "_rid long, first int, count int")
-
-
-def repeated_windows(docs: DataFrame, scratch: common.Scratch, words: bool, window: int, gram: int, group: int = GROUP) -> DataFrame:
-    """(_rid, first, count): runs of windows whose content also starts earlier, in order of (_rid,
-    start). `docs` has _rid and text. Runs may overlap or repeat; every such window is in one."""
-    every = scratch.keep(all_runs(docs, words, window, gram), "runs")
-    # written before it is joined: only between two plain exchanges can a hot key's rows be split
-    shared = scratch.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), "shared")
-    runs = scratch.keep(every.join(shared, "anchor"), "shared_runs")
-    scratch.drop("runs", "shared")
-    lead = F.min(F.struct("_rid", "first"))
-    distinct = runs.groupBy("anchor", "context").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
-    distinct = scratch.keep(distinct, "contexts")
-    copied = distinct.where("n > 1").select("anchor", "context", "lead")
-    copies = runs.join(copied, ["anchor", "context"]).where("NOT (_rid = lead._rid AND first = lead.first)").select("_rid", "first", "count")
-    copies = scratch.keep(copies, "copies")
-    scratch.drop("shared_runs")
-
-    branching = scratch.keep(distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where("contexts > 1"), "branching")
-    wanted = distinct.join(branching, "anchor").groupBy("lead._rid").agg(F.collect_list(F.struct("anchor", F.col("lead.first").alias("first"), "count", "contexts")).alias("_wanted"))
-    found = docs.select("_rid", "text").dropDuplicates(["_rid"]) if _stated_twice(docs) else docs.select("_rid", "text")
-    read = scratch.keep(_windows(found.join(wanted, "_rid").select("_rid", "text", "_wanted"), words, window, 0 if words else group), "windows")
-    scratch.drop("contexts", "branching")
-
-    edges = read.where("body IS NULL").select("h1", "h2", "_rid", "first")
-    first = scratch.keep(edges.groupBy("h1", "h2").agg(lead.alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1"), "repeated_windows")
-    again = edges.join(first, ["h1", "h2"]).where("NOT (_rid = lead._rid AND first = lead.first)").select("_rid", "first", F.lit(1).alias("count"))
-    out = copies.unionByName(again)
-    if not words:
-        out = out.unionByName(_suffix_blocks(read.where("body IS NOT NULL"), window))
-    return out
+def asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(_rid, text, _wanted): texts with all rows of `wanted` (_rid, ...) for them; those are no more
+    than a text has places for."""
+    lists = wanted.groupBy("_rid").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "_rid"])).alias("_wanted"))
+    return docs.select("_rid", "text").join(lists, "_rid")
 
 
-def _stated_twice(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("_rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+def steps(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.StructArray]]:
+    """Of rows (_rid, text, list): bytes, offsets, _rid, and the lists' items with their texts' numbers."""
+    data, offsets = common.text_view(batch.column(1))
+    lists = batch.column(2)
+    begin = np.asarray(lists.offsets, np.int64)
+    rids = np.asarray(batch.column(0))
+    for a, b in common.chunks(offsets):
+        part = offsets[a : b + 1]
+        doc = np.repeat(np.arange(b - a), np.diff(begin[a : b + 1]))
+        yield data[part[0] : part[-1]], part - part[0], rids[a:b], doc, lists.values.slice(begin[a], begin[b] - begin[a])
 
 
-def spans_of(repeats: DataFrame) -> DataFrame:
-    """(_rid, _spans): each document's runs; as long as the document at most."""
-    return repeats.groupBy("_rid").agg(F.collect_list(F.struct("first", "count")).alias("_spans"))
+def window_hashes(found: DataFrame, words: bool, window: int, seed: int) -> DataFrame:
+    """(h1, h2, _rid, first, count): each window by itself, by two independent hashes."""
+    names = ["h1", "h2", "_rid", "first", "count"]
+
+    def run(batches):
+        for batch in batches:
+            for text, part, rid, doc, items in steps(batch):
+                symbols, off = sequence(text, part, words)
+                first, count = (np.asarray(items.field(k), np.int64) for k in ("first", "count"))
+                places = np.arange(len(symbols) + 1)
+                at = gather(places, off[doc] + first, count)
+                h1, h2 = (superkmers.textvec.hash_spans(symbols, at, at + window, s).view(np.int64) for s in (2 * seed, 2 * seed + 1))
+                own = gather(places, first, count)
+                cols = [pa.array(h1), pa.array(h2), pa.array(np.repeat(rid[doc], count)), pa.array(own.astype(np.int32)), pa.array(np.ones(len(at), np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names)
+
+    return found.mapInArrow(run, "h1 long, h2 long, _rid long, first int, count int")
+
+
+def compacted(occurrences: DataFrame) -> DataFrame:
+    """Occurrences put together where one goes on behind another both in its text and in the lead's."""
+    rows = occurrences.withColumn("shift", F.col("lead_first") - F.col("first"))
+    line = Window.partitionBy("_rid", "lead_rid", "shift").orderBy("first")  # within one text
+    end = F.max(F.col("first") + F.col("count")).over(line.rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("fresh", F.when(F.col("first") <= end, 0).otherwise(1))
+    rows = rows.withColumn("span", F.sum("fresh").over(line.rowsBetween(Window.unboundedPreceding, 0)))
+    begin = F.min("first")
+    spans = rows.groupBy("_rid", "lead_rid", "shift", "span").agg(begin.alias("first"), (F.max(F.col("first") + F.col("count")) - begin).cast("int").alias("count"))
+    return spans.select("_rid", "first", "count", "lead_rid", (F.col("first") + F.col("shift")).cast("int").alias("lead_first"))
+
+
+def _digests(found: DataFrame, words: bool, window: int) -> DataFrame:
+    """(_rid, first, count, d1, d2): 128-bit digests of what so many windows cover."""
+    names = ["_rid", "first", "count", "d1", "d2"]
+
+    def run(batches):
+        for batch in batches:
+            for text, part, rid, doc, items in steps(batch):
+                first, count = (np.asarray(items.field(k), np.int64) for k in ("first", "count"))
+                if words:  # each word with a blank behind it
+                    start, end, _, off = superkmers.word_symbols(text, part)
+                    size = end - start
+                    place = np.append(0, np.cumsum(size + 1))
+                    spread = np.full(place[-1], 0x20, np.uint8)
+                    spread[gather(np.arange(len(spread)), place[:-1], size)] = gather(text, start, size)
+                    flat = spread.tobytes()
+                else:
+                    off, place, flat = part, np.arange(len(text) + 1), text.tobytes()
+                x, y = place[off[doc] + first], place[off[doc] + first + count + window - 1]
+                made = b"".join(hashlib.blake2b(flat[a:b], digest_size=16).digest() for a, b in zip(x.tolist(), y.tolist()))
+                d = np.frombuffer(made, np.int64).reshape(-1, 2)
+                yield pa.RecordBatch.from_arrays([pa.array(rid[doc]), items.field("first"), items.field("count"), pa.array(d[:, 0].copy()), pa.array(d[:, 1].copy())], names)
+
+    return found.mapInArrow(run, "_rid long, first int, count int, d1 long, d2 long")
+
+
+def _all_equal(docs: DataFrame, spans: DataFrame, scratch: common.Scratch, words: bool, window: int, name: str) -> bool:
+    """Does every span hold what its lead holds, in the texts themselves."""
+    leads = spans.select(F.col("lead_rid").alias("_rid"), F.col("lead_first").alias("first"), "count")
+    wanted = spans.select("_rid", "first", "count").unionByName(leads).distinct()
+    digests = scratch.keep(_digests(asked(docs, wanted), words, window), name)
+    lead = digests.select(F.col("_rid").alias("lead_rid"), F.col("first").alias("lead_first"), "count", F.col("d1").alias("e1"), F.col("d2").alias("e2"))
+    both = spans.join(digests, ["_rid", "first", "count"]).join(lead, ["lead_rid", "lead_first", "count"])
+    wrong = both.where("d1 <> e1 OR d2 <> e2").limit(1).count()
+    scratch.drop(name)
+    return not wrong
+
+
+def repeated_spans(docs: DataFrame, scratch: common.Scratch, words: bool, window: int, find: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """(_rid, first, count, lead_rid, lead_first): long spans of windows that also start earlier, in
+    order of (_rid, start), each verified. `docs` has _rid and text; find(docs, seed) gives the
+    occurrences by hashes of that seed. Every such window is in a span."""
+    docs = docs.select("_rid", "text")
+    if docs.groupBy("_rid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+        docs = docs.dropDuplicates(["_rid"])
+    for seed in range(SEEDS):
+        spans = scratch.keep(compacted(find(docs, seed)), f"spans-{seed}")
+        if _all_equal(docs, spans, scratch, words, window, f"digests-{seed}"):
+            return spans
+    raise RuntimeError("hashes of every seed collide")
+
+
+def spans_of(spans: DataFrame) -> DataFrame:
+    """(_rid, _spans): each document's spans; as long as the document at most."""
+    return spans.groupBy("_rid").agg(F.collect_list(F.struct("first", "count")).alias("_spans"))
 
 
 def removed(spans: pa.ListArray, lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

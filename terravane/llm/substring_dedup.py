@@ -1,10 +1,4 @@
-"""Substring dedup [method: de Bruijn compaction].
-
-A window of `window` words is an edge of a de Bruijn graph. Edges leave their text compacted to
-paths that share a minimizer; paths without branches (one context for an anchor) are compared as
-wholes and joined to their earliest occurrence, and only at branches are edges told apart, by the
-words found at their source coordinates. See repeats.py.
-"""
+"""Substring dedup [method: de Bruijn compaction]: see debruijn.py for the graph."""
 
 from __future__ import annotations
 
@@ -16,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import common, repeats, superkmers
+from . import common, debruijn, repeats, superkmers
 
 WINDOW, GRAM = 20, 8
 
@@ -54,15 +48,19 @@ def cut(docs: DataFrame, window: int = WINDOW, text: str = "text", chars: str =
     A removed run goes with the blanks behind it; what stands between kept words stays. A text that
     loses nothing is unchanged, null included; `chars`, if there, is the length of a changed text.
     """
-    plain = docs.select("doc_id", text, *[c for c in docs.columns if c not in ("doc_id", text, "_spans")])
-    with_spans = _with_spans(plain.withColumnRenamed(text, "text"), window)
+    # the input's columns take names of their own, so that none clashes with those made here
+    own_names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rest = [c for c in docs.columns if c not in ("doc_id", text)]
+    plain = docs.select("doc_id", F.col(_quoted(text)).alias("text"), *[F.col(_quoted(c)).alias(own_names[c]) for c in rest])
+    with_spans = _with_spans(plain, window)
     names = [c for c in with_spans.columns if c not in ("_rid", "_spans")]
+    n_chars = own_names.get(chars)
 
     def run(batches):
         for batch in batches:
             for a, b, raw, part, _, gone, own, start, end in _steps(batch, window):
                 rows = batch.slice(a, b - a)
-                texts, sizes = rows.column(1).to_pylist(), rows.column(names.index(chars)).to_pylist() if chars in names else None
+                texts, sizes = rows.column(1).to_pylist(), rows.column(names.index(n_chars)).to_pylist() if n_chars else None
                 for i in range(b - a):
                     flags = gone[own[i] : own[i + 1]]
                     if not flags.any():
@@ -78,12 +76,17 @@ def cut(docs: DataFrame, window: int = WINDOW, text: str = "text", chars: str =
                         sizes[i] = len(texts[i])
                 cols = [rows.column(0), pa.array(texts, rows.column(1).type), *(rows.column(k) for k in range(2, len(names)))]
                 if sizes is not None:
-                    cols[names.index(chars)] = pa.array(sizes, rows.column(names.index(chars)).type)
+                    cols[names.index(n_chars)] = pa.array(sizes, rows.column(names.index(n_chars)).type)
                 yield pa.RecordBatch.from_arrays(cols, names)
 
     out = with_spans.select(*names, "_spans")
     schema = T.StructType([out.schema[n] for n in names])
-    return out.mapInArrow(run, schema).withColumnRenamed("text", text).select(*docs.columns)
+    made = out.mapInArrow(run, schema)
+    return made.select(*[F.col({"doc_id": "doc_id", text: "text"}.get(c, own_names[c])).alias(c) for c in docs.columns])
+
+
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
 
 
 def _with_spans(docs: DataFrame, window: int) -> DataFrame:
@@ -92,7 +95,7 @@ def _with_spans(docs: DataFrame, window: int) -> DataFrame:
     common.small_batches(docs.sparkSession)
     keyed = common.with_row_key(docs, scratch)
     gram = min(GRAM, max(1, window // 2)) if window <= 254 else window - 254 + 1
-    spans = repeats.spans_of(repeats.repeated_windows(keyed.select("_rid", F.coalesce("text", F.lit("")).alias("text")), scratch, True, window, gram))
+    spans = repeats.spans_of(debruijn.repeated_paths(keyed.select("_rid", F.coalesce("text", F.lit("")).alias("text")), scratch, window, gram))
     none = F.array().cast("array<struct<first:int,count:int>>")
     return keyed.join(spans, "_rid", "left").withColumn("_spans", F.coalesce("_spans", none))
 

@@ -1,6 +1,8 @@
 """Suffix-array dedup [method: threshold-bounded interval expansion on a Burrows-Wheeler transform].
 
-See repeats.py for how windows meet and bwt.py for the expansion.
+Strings that share a minimizer meet in a block; there bwt.py sorts their suffixes and expands
+intervals to the threshold. Strings that occur again as wholes are joined to their first occurrence
+and stand in a block once (repeats.py).
 """
 
 from __future__ import annotations
@@ -12,9 +14,103 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common, repeats
+from . import bwt, common, repeats
+from .bpe import gather
 
 WINDOW, GRAM = 100, 36
+#: Different strings of one minimizer that a block takes together; those of a minimizer with more
+#: can't be one task's work, and meet window by window in a sum and a join.
+GROUP = 4096
+#: Bytes in a block, about.
+BLOCK = 700_000
+
+
+def _bodies(found: DataFrame, window: int) -> DataFrame:
+    """(anchor, _rid, first, body): strings at their source coordinates."""
+
+    def run(batches):
+        for batch in batches:
+            for text, part, rid, doc, items in repeats.steps(batch):
+                first, count = (np.asarray(items.field(k), np.int64) for k in ("first", "count"))
+                size = count + window - 1
+                flat = gather(text, part[doc] + first, size)
+                body = pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(np.append(0, np.cumsum(size)).astype(np.int32).tobytes()), pa.py_buffer(flat.tobytes())])
+                yield pa.RecordBatch.from_arrays([items.field("anchor"), pa.array(rid[doc]), items.field("first"), body], ["anchor", "_rid", "first", "body"])
+
+    return found.mapInArrow(run, "anchor long, _rid long, first int, body binary")
+
+
+def _suffix_blocks(strings: DataFrame, window: int) -> DataFrame:
+    """Occurrences (_rid, first, count, lead_rid, lead_first) of windows within a minimizer's strings."""
+
+    def solve(parts: list[pa.RecordBatch]):
+        table = pa.Table.from_batches(parts).combine_chunks()
+        rid, first = (np.asarray(table.column(k).combine_chunks()) for k in (1, 2))
+        data, off = common.text_view(table.column(3))
+        starts, class_ = bwt.repeat_classes(data, off, window)
+        string = np.searchsorted(off, starts, "right") - 1
+        at = first[string] + starts - off[string]
+        # equal windows have equal anchors, so classes need no anchor; the earliest member leads
+        order = np.lexsort((at, rid[string], class_))
+        head = np.append(True, class_[order][1:] != class_[order][:-1]) if len(order) else np.zeros(0, bool)
+        lead = np.empty(len(order), np.int64)
+        lead[order] = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))] if len(order) else order
+        from_, to = rid[string][lead], at[lead]
+        hit = np.flatnonzero((rid[string] != from_) | (at != to))
+        if len(hit):
+            on = (hit[1:] == hit[:-1] + 1) & (string[hit[1:]] == string[hit[:-1]]) & (from_[hit[1:]] == from_[hit[:-1]]) & (to[hit[1:]] == to[hit[:-1]] + 1)
+            fresh = np.append(True, ~on)
+            begin = hit[fresh]
+            count = np.diff(np.append(np.flatnonzero(fresh), len(hit)))
+            cols = rid[string[begin]], at[begin].astype(np.int32), count.astype(np.int32), from_[begin], to[begin].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_rid", "first", "count", "lead_rid", "lead_first"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            # whole anchors only: what may still continue stays for the next block
+            anchor = np.asarray(batch.column(0))
+            cut = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else []
+            ends = common.text_view(batch.column(3))[1]
+            at = 0
+            for c in cut:
+                joins = c == 0 and held and held[-1].column(0)[len(held[-1]) - 1].as_py() == anchor[0]
+                if not joins and size + ends[c] - ends[at] >= BLOCK:
+                    if c > at:
+                        held.append(batch.slice(at, c - at))
+                    yield from solve(held)
+                    held, size, at = [], 0, c
+            if at < len(anchor):
+                held.append(batch.slice(at))
+                size += int(ends[-1] - ends[at])
+        if held:
+            yield from solve(held)
+
+    grouped = strings.select("anchor", "_rid", "first", "body").repartition("anchor").sortWithinPartitions("anchor")
+    return grouped.mapInArrow(run, "_rid long, first int, count int, lead_rid long, lead_first int")
+
+
+def repeated_strings(docs: DataFrame, scratch: common.Scratch, window: int, gram: int, group: int = GROUP) -> DataFrame:
+    """Verified spans (_rid, first, count, lead_rid, lead_first) of `window`-byte strings that also
+    start earlier."""
+
+    def find(docs: DataFrame, seed: int) -> DataFrame:
+        runs = repeats.shared_runs(docs, scratch, False, window, gram, seed)
+        different, later = repeats.joined_to_first(runs, ["anchor", "context"], scratch, f"strings-{seed}")
+        later = scratch.keep(later, f"later-{seed}")
+        scratch.drop(f"shared_runs-{seed}")
+        several = scratch.keep(different.groupBy("anchor").agg(F.count(F.lit(1)).alias("strings")).where("strings > 1"), f"several-{seed}")
+        wanted = different.join(several, "anchor").select("anchor", "strings", "lead._rid", F.col("lead.first").alias("first"), "count")
+        few = wanted.where(F.col("strings") <= group).select("_rid", "anchor", "first", "count")
+        bodies = scratch.keep(_bodies(repeats.asked(docs, few), window), f"bodies-{seed}")
+        out = later.unionByName(_suffix_blocks(bodies, window))
+        if not several.where(F.col("strings") > group).isEmpty():
+            many = wanted.where(F.col("strings") > group).select("_rid", "first", "count")
+            windows = scratch.keep(repeats.window_hashes(repeats.asked(docs, many), False, window, seed), f"windows-{seed}")
+            out = out.unionByName(repeats.joined_to_first(windows, ["h1", "h2"], scratch, f"windows-{seed}")[1])
+        return out
+
+    return repeats.repeated_spans(docs, scratch, False, window, find)
 
 
 def dedup(docs: DataFrame, window: int = WINDOW, keep_bytes: bool = False) -> DataFrame:
@@ -29,7 +125,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep_bytes: bool = False) -> Da
     common.small_batches(docs.sparkSession)
     keyed = common.with_row_key(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), scratch)
     gram = min(GRAM, max(1, window // 2)) if window <= 254 else window - 254 + 1
-    spans = repeats.spans_of(repeats.repeated_windows(keyed, scratch, False, window, gram))
+    spans = repeats.spans_of(repeated_strings(keyed, scratch, window, gram))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * keep_bytes
 
     def run(batches):

@@ -28,14 +28,14 @@ class Runs:
     context: np.ndarray
 
 
-def runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Runs:
+def runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int, seed: int = 0) -> Runs:
     """Runs of all windows of the sequences symbols[offsets[i]:offsets[i + 1]]."""
     spread = window - gram + 1
     assert 1 <= spread <= 255
     none = np.zeros(0, np.int64)
     if len(symbols) < window:
         return Runs(none, none, none, none, none)
-    grams = textvec.hash_windows(symbols, gram)
+    grams = textvec.hash_windows(symbols, gram, seed)
     # the low byte is the distance to the least gram; leftmost wins, as the distance grows
     least, width = grams & ~_DISTANCE, 1
     while width < spread:
@@ -57,7 +57,7 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int) -> Ru
     # a run ends before the next begins, or with the last window of its text
     text = np.searchsorted(ends, begin, "right")
     stop = np.minimum(np.append(begin[1:], n), ends[text] - window + 1)
-    return Runs(text, begin - starts[text], stop - begin, grams[at[begin]].view(np.int64), textvec.hash_spans(symbols, begin, stop + window - 1).view(np.int64))
+    return Runs(text, begin - starts[text], stop - begin, grams[at[begin]].view(np.int64), textvec.hash_spans(symbols, begin, stop + window - 1, seed).view(np.int64))
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
