@@ -1,5 +1,7 @@
 import hashlib
+import math
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -87,32 +89,66 @@ def test_media_columns(spark):
 
 
 def brute_log(word, prob, pieces):
+    """In exact fractions, as long words have tiny likelihoods."""
     index = {p: i for i, p in enumerate(pieces)}
-    total = [1.0] + [0.0] * len(word)
+    exact = [Fraction(float(x)) for x in prob]
+    total = [Fraction(1)] + [Fraction(0)] * len(word)
     for end in range(1, len(word) + 1):
-        for begin in range(max(0, end - language.LONGEST_PIECE), end):
+        for begin in range(end):
             piece = index.get(word[begin:end], len(pieces) if end - begin == 1 else None)
             if piece is not None:
-                total[end] += total[begin] * prob[piece]
-    return np.log(max(total[-1], 1e-300))
+                total[end] += total[begin] * exact[piece]
+    return math.log(total[-1].numerator) - math.log(total[-1].denominator)
 
 
 def test_forward_sums_every_segmentation():
     from terravane.llm import common
     import pyarrow as pa
 
-    pieces = sorted(["▁", "▁th", "th", "he", "e", "t", "h", "é", "▁the"])
+    pieces = sorted(["▁", "▁th", "th", "he", "e", "t", "h", "é", "▁the", "▁abcdefghijklmno", "bcdefghijklm"])
     prob = np.random.default_rng(3).dirichlet(np.ones(len(pieces) + 1), 2).T
-    scorer = language.Scorer(["a", "b"], prob, pieces)
-    texts = ["The THE; he", "", "éééx 12", "日本the", "t" * 100]
-    got, words = scorer.totals(*common.text_view(pa.array(texts)))
-    for text, row, n in zip(texts, got, words):
-        own = language.words_of(text)
+    letters = np.array(sorted(map(ord, "abcdefghijklmnotheé")), np.uint32)
+    scorer = language.Scorer(language.Model(["a", "b"], pieces, prob, letters))
+    texts = ["The THE; he", "", "éééx 12", "日本the", "t" * 130, "abcdefghijklmno abcdefghijklmn", "日本 the", "12"]
+    got, words, met = scorer.totals(*common.text_view(pa.array(texts)))
+    for text, row, n, share in zip(texts, got, words, met):
+        own = [w for w in language.words_of(text) if set(w) & set("abcdefghijklmnotheé")]
         assert n == len(own)
+        every = [c for w in language.words_of(text) for c in w[1:]]
+        assert share == (sum(c in "abcdefghijklmnotheé" for c in every) / len(every) if every else -1)
         for k in range(2):
             assert np.isclose(row[k], sum(brute_log(w, prob[:, k], pieces) for w in own))
 
 
+def test_expected_uses_of_pieces():
+    """Against the sum over all segmentations one by one; and in a word too long for plain products."""
+    pieces = sorted(["▁", "a", "b", "ab", "▁a", "ba", "aba"])
+    prob = np.random.default_rng(5).dirichlet(np.ones(len(pieces) + 1))
+    lattice = language.Lattice(pieces)
+    words, weight = ["▁abab", "▁bxa", "▁a"], np.array([2.0, 1.0, 5.0])
+
+    def segmentations(word):
+        if not word:
+            yield []
+        for n in range(1, len(word) + 1):
+            piece = pieces.index(word[:n]) if word[:n] in pieces else len(pieces) if n == 1 else None
+            if piece is not None:
+                yield from ([piece, *rest] for rest in segmentations(word[n:]))
+
+    want = np.zeros(len(pieces) + 1)
+    for word, w in zip(words, weight):
+        ways = list(segmentations(word))
+        p = np.array([np.prod(prob[way]) for way in ways])
+        for way, share in zip(ways, p / p.sum()):
+            for piece in way:
+                want[piece] += w * share
+    cps, start, size = language._flat_words(words)
+    assert np.allclose(lattice.expected(lattice.cuts(cps, start, size), size, prob, weight), want)
+    cps, start, size = language._flat_words(["▁" + "x" * 3000])
+    seen = lattice.expected(lattice.cuts(cps, start, size), size, prob * 1e-6, np.ones(1))
+    assert np.isclose(seen[-1], 3000) and np.isclose(seen.sum(), 3001)
+
+
 def test_language_accuracy_and_edges(spark, odd_docs, no_docs):
     from terravane.llm import queries
 
@@ -127,5 +163,7 @@ def test_language_accuracy_and_edges(spark, odd_docs, no_docs):
     assert len(odd) == odd_docs.count()
     assert all((r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or "")) for r in odd)
     assert language.predict(no_docs, model).count() == 0
+    other = spark.createDataFrame([(1, "日" * 48), (2, "ж " * 48), (3, "日" * 30_000), (4, "the " * 20 + "日" * 80)], "doc_id long, text string")
+    assert all(r.score < 0.5 and r.lang_pred in model.langs for r in language.predict(other.selectExpr("*", "1 AS score", "2 AS lang_pred"), model).collect())
     nothing = language.train(no_docs, queries.PIECES)
     assert {r.lang_pred for r in language.predict(odd_docs, nothing).collect()} == {"und"}
