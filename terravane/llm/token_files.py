@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from . import bpe, common
 
+#: Tokens that the reader holds at a time; a longer document is its own step.
+STEP_TOKENS = 1 << 20
 PART = "_part int, documents long, tokens long, name string, bits int"
 
 
@@ -105,8 +107,7 @@ def read(spark: SparkSession, root: str) -> DataFrame:
                 off, key = (np.asarray(_open(store, f"{folder}/{name}.{x}", "<i8")) for x in ("off", "key"))
                 docs = pa.concat_arrays([pa.nulls(int(key[0]), pa.int64()), pa.array(key[1:])])
                 ids = _open(store, f"{folder}/{name}.ids", f"<u{bits // 8}") if off[-1] else np.zeros(0, np.uint16)
-                for a in range(0, len(off) - 1, 2000):
-                    b = min(a + 2000, len(off) - 1)
+                for a, b in common.chunks(off, STEP_TOKENS):
                     own = np.asarray(ids[off[a] : off[b]])
                     crc = bpe.crc32s(own, off[a : b + 1] - off[a])
                     yield pa.RecordBatch.from_arrays([docs.slice(a, b - a), pa.array(base + off[a:b]), pa.array(np.diff(off[a : b + 1])), pa.array(crc)], ["doc_id", "start", "n_tokens", "ids_crc32"])
