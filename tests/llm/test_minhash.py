@@ -91,7 +91,63 @@ def test_families_with_shared_passages(spark):
             rows.append((len(rows), " ".join(own)))
     rng.shuffle(rows)
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    assert got(minhash.near_duplicates(docs, small=3)) == classes(docs.collect(), False)
+    assert got(minhash.near_duplicates(docs, counts=False)) == classes(docs.collect(), False)
+
+
+def test_one_large_family(spark, monkeypatch):
+    """Two thousand near copies about the threshold: every link is found, none made up."""
+    monkeypatch.setattr(minhash, "BANDS", 40)
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    base = rng.choices(words, k=120)
+    rows = [(0, " ".join(base))]
+    for i in range(1, 2000):
+        own = list(base)
+        for _ in range(rng.randint(0, 6)):
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice(([], [rng.choice(words)], [own[at], rng.choice(words)]))
+        rows.append((i, " ".join(own)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()}
+    sets = [shingle_counts(t) for _, t in rows]
+    items = sorted({x for s in sets for x in s})
+    column = {x: i for i, x in enumerate(items)}
+    m = np.zeros((len(rows), len(items)), np.float32)
+    for i, s in enumerate(sets):
+        for x, n in s.items():
+            assert n == 1
+            m[i, column[x]] = n
+    size = m.sum(axis=1)
+    both = m @ m.T
+    linked = both >= 0.8 * (size[:, None] + size - both) - 1e-3
+    root = np.arange(len(rows))
+    while True:
+        new = np.where(linked, root[None, :], len(rows)).min(axis=1)
+        if (new == root).all():
+            break
+        root = new
+    assert found == dict(enumerate(root.tolist()))
+
+
+def test_words_that_weak_hashes_confuse(spark):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, f"{word} {other}"), (4, f"{word}  {other}")], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in minhash.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 3}
+
+
+def test_exact_shingles_when_hashes_collide(few_docs, monkeypatch):
+    texts = [r.text for r in few_docs.limit(20).collect()] + ["", "a", "a b c d", "a a a a a a a"]
+    want = [shingle_counts(t) for t in texts]
+    for broken in (False, True):
+        if broken:
+            monkeypatch.setattr(minhash.textvec, "hash_spans", lambda units, start, end, seed=0: (end - start).astype(np.uint64))
+            monkeypatch.setattr(minhash.textvec, "mix", lambda h: h & np.uint64(3))
+        item, often, own = minhash.exact_shingles(*common.text_view(pa.array(texts)))
+        got = [dict(zip(item[a:b].tolist(), often[a:b].tolist())) for a, b in zip(own[:-1], own[1:])]
+        for x, y, p, q in zip(want, want[1:], got, got[1:]):
+            assert sorted(x.values()) == sorted(p.values())
+            assert (x & y).total() == sum(min(n, q.get(k, 0)) for k, n in p.items())
 
 
 def test_components_of_a_chain(spark):
