@@ -16,7 +16,7 @@ from .operators import convert as converting
 from .operators import describe as describing
 from .operators import extract as extracting
 from .operators import validate as validating
-from .sources import geojson, geoparquet, storage
+from .sources import footers, geojson, geoparquet
 
 
 def session():
@@ -36,7 +36,7 @@ def _parser() -> argparse.ArgumentParser:
     c.add_argument("--min", type=int, default=geojson.MIN_FEATURES)
     c.add_argument("--max", type=int, default=geojson.MAX_FEATURES)
     c.add_argument("--input-primary-column", default=None)
-    c.add_argument("--compression", default="zstd", choices=geoparquet.CODECS)
+    c.add_argument("--compression", default=None, choices=geoparquet.CODECS, help="of every column; Parquet input keeps its own by default")
     c.add_argument("--row-group-length", type=int, default=0)
     c.add_argument("--stats", action="store_true")
     c.add_argument("--folder", action="store_true", help="write a folder of files in parallel")
@@ -130,9 +130,9 @@ def _validate(args) -> int:
 
 
 def _describe(args) -> int:
-    path = storage.readable(_input(args.paths, ".parquet"))
+    path = _input(args.paths, ".parquet")
     if args.metadata_only:
-        print(footer_value(storage.footer_pairs(storage.open_parquet(path))))
+        print(footer_value(footers.pairs(path)))
         return 0
     found = describing.info(path)
     print(json.dumps(found, indent=None if args.unpretty else 2, ensure_ascii=False) if args.format == "json" else describing.text(found))

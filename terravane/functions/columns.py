@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..errors import GeometryError
 from . import geometry as g
+from .batches import Batch
 
 BOX = "struct<xmin:double,ymin:double,xmax:double,ymax:double>"
 _BOX = pa.struct([(n, pa.float64()) for n in ("xmin", "ymin", "xmax", "ymax")])
@@ -61,24 +62,11 @@ def geojson_to_wkb(c) -> Column:
 
 
 def envelope_array(values: pa.Array) -> pa.Array:
-    """Envelopes of WKB or WKT values. A batch of plain points is read as one array."""
-    n = len(values)
-    if pa.types.is_binary(values.type) and n and not values.null_count:
-        offsets = np.frombuffer(values.buffers()[1], np.int32)[values.offset : values.offset + n + 1]
-        if (np.diff(offsets) == 21).all():
-            raw = np.frombuffer(values.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(n, 21)
-            if (raw[:, :5] == (1, 1, 0, 0, 0)).all():
-                xy = np.ascontiguousarray(raw[:, 5:]).view("<f8")
-                if not np.isnan(xy).any():
-                    x, y = pa.array(xy[:, 0].copy()), pa.array(xy[:, 1].copy())
-                    return pa.StructArray.from_arrays([x, y, x, y], ["xmin", "ymin", "xmax", "ymax"])
-    out = []
-    for v in values.to_pylist():
-        box = None
-        if v:
-            box = g.wkb_bounds(v if isinstance(v, bytes) else g.to_wkb(g.from_wkt(v)))
-        out.append(dict(zip(("xmin", "ymin", "xmax", "ymax"), box)) if box else None)
-    return pa.array(out, _BOX)
+    """Envelopes of WKB or WKT values; plain shapes in bytes are read as whole arrays."""
+    if pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type):
+        return Batch(values).box_array(lambda i: g.wkb_bounds(values[i].as_py()))
+    made = [g.wkb_bounds(g.to_wkb(g.from_wkt(v))) if v else None for v in values.to_pylist()]
+    return pa.array([dict(zip(("xmin", "ymin", "xmax", "ymax"), box)) if box else None for box in made], _BOX)
 
 
 def envelope(c) -> Column:
@@ -113,7 +101,24 @@ def geometry_type(c) -> Column:
 
 def ring_problem(c, every_polygon: bool = False) -> Column:
     """"", "exterior" or "interior": which ring of a polygon breaks counterclockwise orientation."""
-    return _mapped("string", pa.string(), lambda v: g.rings_follow(g.parse_wkb(v), every_polygon))(c)
+
+    @F.arrow_udf("string")
+    def apply(values: pa.Array) -> pa.Array:
+        return pa.array(ring_problems(Batch(values), values, every_polygon), pa.string())
+
+    return apply(c)
+
+
+def ring_problems(batch: Batch, values: pa.Array, every_polygon: bool = False) -> list[str | None]:
+    """Of each value; null for null and empty."""
+    out = np.full(len(values), "", object)
+    out[batch.empty] = None
+    turns = np.full(len(values), 1)
+    turns[batch.plain] = batch.turns()
+    out[(batch.kind == 3) & (turns < 1)] = "exterior"
+    for i in np.flatnonzero(~batch.empty & (~batch.plain | ((batch.kind == 3) & (turns == 2)))):
+        out[i] = g.rings_follow(g.parse_wkb(values[int(i)].as_py()), every_polygon)
+    return out.tolist()
 
 
 def geometry_error(c, encoding: str = "") -> Column:
@@ -121,13 +126,20 @@ def geometry_error(c, encoding: str = "") -> Column:
 
     @F.arrow_udf("string")
     def apply(values: pa.Array) -> pa.Array:
-        out = []
-        for v in values.to_pylist():
+        out: list[str | None] = [None] * len(values)
+        for i in unplain(values, encoding):
             try:
-                g.decode(v, encoding)
-                out.append(None)
+                g.decode(values[int(i)].as_py(), encoding)
             except (GeometryError, ValueError, TypeError) as e:
-                out.append(str(e))
+                out[i] = str(e)
         return pa.array(out, pa.string())
 
     return apply(c)
+
+
+def unplain(values: pa.Array, encoding: str) -> np.ndarray:
+    """Places of the values that must be looked at one by one."""
+    if encoding.upper() in ("", "WKB") and (pa.types.is_binary(values.type) or pa.types.is_large_binary(values.type)):
+        batch = Batch(values)
+        return np.flatnonzero(~batch.plain & ~batch.empty)
+    return np.arange(len(values))

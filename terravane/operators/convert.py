@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from urllib.parse import urlsplit
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.storagelevel import StorageLevel
 from ..errors import NoMetadataError, TerravaneError
 from ..functions import columns
 from ..metadata import WKB, GeoMetadata, resolve
-from ..sources import geojson, geoparquet, schema, storage
+from ..sources import footers, geojson, geoparquet, schema, storage
 from ..sources.storage import Format
 from . import stats
 
@@ -42,16 +43,18 @@ def convert(
     min_features: int = geojson.MIN_FEATURES,
     max_features: int = geojson.MAX_FEATURES,
     primary: str | None = None,
-    compression: str = "zstd",
+    compression: str | None = None,
     row_group_length: int = 0,
     compute_stats: bool = False,
     keep_id: bool = False,
-    keep_codecs: bool = False,
-    single_file: bool = True,
+    keep_codecs: bool | None = None,
+    single_file: bool = False,
 ) -> dict:
     """Converts a file or folder and says what was written: format, path, schema, geo, records.
 
-    single_file=False writes a folder of files in parallel, as large tables need.
+    Writes a folder of files in parallel; single_file=True writes one file, for exports of a bounded
+    size. Parquet input keeps each column's codec where no `compression` is given; else columns have
+    that codec, or zstd. keep_codecs=True keeps those of known columns beside a `compression`.
     """
     taken, made = storage.parse_format(source_format), storage.parse_format(target_format)
     if taken is Format.AUTO:
@@ -64,7 +67,7 @@ def convert(
         raise TerravaneError(f"could not determine output format for {target}")
     if made is Format.PARQUET:
         made = Format.GEOPARQUET
-    if os.path.abspath(source) == os.path.abspath(target):
+    if not urlsplit(source).netloc and os.path.abspath(source) == os.path.abspath(target):
         raise TerravaneError("the output would replace the input")
     if made is Format.GEOJSON and taken is Format.GEOJSON:
         raise TerravaneError("GeoJSON input can only be converted to GeoParquet")
@@ -77,7 +80,7 @@ def convert(
     else:
         path = storage.readable(source)
         try:
-            found = geoparquet.file_metadata(path)
+            found = geoparquet.file_metadata(source)
         except NoMetadataError:
             if taken is Format.GEOPARQUET:
                 raise
@@ -85,12 +88,12 @@ def convert(
         df = spark.read.parquet(path)
         if made is Format.GEOJSON:
             metadata = resolve(found, df.columns, primary)
-            geojson.write(geoparquet.with_metadata(df, metadata), target, metadata, single_file)
+            geojson.write(geoparquet.with_metadata(df, metadata), target, metadata, single_file, "id" if keep_id and "id" in df.columns else None)
             return {"format": "geojson", "path": target, "schema": df.schema.jsonValue(), "geo": metadata.raw, "records": df.count()}
         out, metadata = to_geoparquet(geoparquet.with_metadata(df, found) if found else df, found, primary, compute_stats)
-        codecs = geoparquet.column_codecs(path) if keep_codecs else {}
-    geoparquet.write(out, target, metadata, compression, codecs, row_group_length, single_file)
+        codecs = geoparquet.column_codecs(path) if keep_codecs or (keep_codecs is None and not compression) else {}
+    geoparquet.write(out, target, metadata, compression or "zstd", codecs, row_group_length, single_file)
     df.unpersist()
     file = storage.open_parquet(target)
-    records = sum(storage.open_parquet(target, f).metadata.num_rows for f in storage.parquet_files(target))
+    records = footers.totals(spark, target)[0]
     return {"format": "geoparquet", "path": target, "schema": schema.message(file.schema), "geo": metadata.raw, "records": records}

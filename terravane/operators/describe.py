@@ -6,18 +6,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..errors import MetadataError, NoMetadataError
 from ..metadata import KEY, GeoMetadata, crs_name
-from ..sources import schema, storage
+from ..sources import footers, schema, storage
 
 
-def info(path: str) -> dict:
+def info(path: str, spark: SparkSession | None = None) -> dict:
     """schema (nested), metadata, rows, groups, issues; of a folder, schema and metadata are those
-    of the first file and counts are of all."""
-    path = storage.readable(path)
+    of the first file and counts are of all. With a session, a folder's footers are read by tasks."""
     file = storage.open_parquet(path)
-    metas = [storage.open_parquet(path, f).metadata for f in storage.parquet_files(path)]
-    out = {"schema": schema.describe_tree(file), "metadata": None, "rows": sum(m.num_rows for m in metas), "groups": sum(m.num_row_groups for m in metas), "issues": []}
+    if spark:
+        rows, groups = footers.totals(spark, path)
+    else:
+        metas = [file.metadata] if storage.is_http(path) else [storage.open_parquet(path, f).metadata for f in storage.parquet_files(path)]
+        rows, groups = sum(m.num_rows for m in metas), sum(m.num_row_groups for m in metas)
+    out = {"schema": schema.describe_tree(file), "metadata": None, "rows": rows, "groups": groups, "issues": []}
     try:
-        out["metadata"] = GeoMetadata.of_footer(storage.footer_pairs(file)).raw
+        out["metadata"] = GeoMetadata.of_footer(footers.pairs(path)).raw
     except NoMetadataError:
         out["issues"].append(f'not a valid GeoParquet file, as the "{KEY}" metadata key is missing; convert may make it one')
     except MetadataError:
@@ -35,7 +38,7 @@ def describe(spark: SparkSession, path: str) -> DataFrame:
             rows.append((here, f["name"], depth, f.get("optional", False), f.get("repeated", False), f.get("type"), f.get("annotation"), f.get("compression")))
             walk(f, here, depth + 1)
 
-    walk(info(path)["schema"], "", 0)
+    walk(schema.describe_tree(storage.open_parquet(path)), "", 0)
     return spark.createDataFrame(rows, "path string, name string, depth int, optional boolean, repeated boolean, type string, annotation string, compression string")
 
 

@@ -17,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..errors import DuplicateMetadataError, GeometryError, NoMetadataError
 from ..functions import bbox
+from ..functions import columns as columns_
 from ..functions import geometry as g
+from ..functions.batches import NAMES, Batch
 from ..metadata import COUNTERCLOCKWISE, EDGES, GEOMETRY_TYPES, KEY, GeoMetadata, footer_value
-from ..sources import geojson, schema, storage
+from ..sources import footers, geojson, schema, storage
 
 STEP = 1024
 TITLES = [
@@ -341,24 +343,45 @@ def _looked_at(c, encoding: str, rings: bool):
 
     @F.arrow_udf(_SEEN)
     def apply(values: pa.Array) -> pa.Array:
-        out = []
-        for v in values.to_pylist():
+        n = len(values)
+        texts = {k: np.full(n, None, object) for k in ("error", "kind", "ring")}
+        box, none, boxless = np.zeros((n, 4)), np.ones(n, bool), np.ones(n, bool)
+        alone = columns_.unplain(values, encoding)
+        if len(alone) < n:
+            batch = Batch(values)
+            box[batch.plain], none[batch.plain], boxless[batch.plain] = batch.boxes(), False, False
+            texts["kind"][batch.plain] = NAMES[batch.kind[batch.plain]]
+            texts["ring"][batch.plain] = ""
+            if rings:
+                texts["ring"] = np.array(columns_.ring_problems(batch, values) if not len(alone) else _rings(batch, values), object)
+        for i in alone:
+            v = values[int(i)].as_py()
             try:
                 shape = g.decode(v, encoding)
             except (GeometryError, ValueError, TypeError) as e:
-                out.append({"error": str(e)})
+                texts["error"][i], none[i] = str(e), False
                 continue
             if shape is None:
-                out.append(None)
                 continue
             parsed = g.parse_wkb(v if isinstance(v, bytes) else g.to_wkb(shape))
-            box = g.bounds_of(g._flat(parsed)) or (None,) * 4
-            out.append({"kind": parsed[0], "ring": g.rings_follow(parsed) if rings else "", **dict(zip(("xmin", "ymin", "xmax", "ymax"), box))})
-        return pa.array(out, _SEEN_ARROW)
+            own = g.bounds_of(g._flat(parsed))
+            none[i], texts["kind"][i], texts["ring"][i] = False, parsed[0], g.rings_follow(parsed) if rings else ""
+            if own:
+                box[i], boxless[i] = own, False
+        fields = [pa.array(texts[k].tolist(), pa.string()) for k in ("error", "kind", "ring")] + [pa.array(box[:, k], mask=boxless) for k in range(4)]
+        return pa.StructArray.from_arrays(fields, [f.name for f in _SEEN_ARROW], mask=pa.array(none))
 
     return apply(c)
 
 
+def _rings(batch: Batch, values: pa.Array) -> list[str | None]:
+    """Ring problems of plain values alone, as others may not be readable."""
+    plain = values.filter(pa.array(batch.plain))
+    out = np.full(len(values), None, object)
+    out[batch.plain] = columns_.ring_problems(Batch(plain), plain)
+    return out.tolist()
+
+
 def _data(run: _Run, df: DataFrame, metadata: GeoMetadata) -> None:
     """Rules 17 to 20 over every geometry column in one aggregation."""
     order = F.col("_row")
@@ -402,19 +425,18 @@ def _data(run: _Run, df: DataFrame, metadata: GeoMetadata) -> None:
 
 
 def validate(spark: SparkSession, path: str, metadata_only: bool = False) -> Report:
-    """Of a file, or of a folder by its first file's footer and all files' rows."""
-    path = storage.readable(path)
+    """Of a file, or of a folder by its first file's footer and all files' rows, in order of the
+    files' addresses."""
     file = storage.open_parquet(path)
     df = None
     if not metadata_only:
-        read = spark.read.parquet(path)
-        files = storage.parquet_files(path)
+        path_ = storage.readable(path)
         row = F.col("_metadata.row_index")
-        if len(files) > 1:  # rows of a file lie behind those of the files before it
-            sizes = [storage.open_parquet(path, f).metadata.num_rows for f in files]
-            base = F.lit(0)
-            for name, at in zip(files, np.cumsum([0, *sizes[:-1]]).tolist()):
-                base = F.when(F.col("_metadata.file_name") == name.rsplit("/", 1)[-1], F.lit(at)).otherwise(base)
-            row = row + base
-        df = read.select("*", row.alias("_row"))
-    return report(storage.footer_pairs(file), schema.tree(file.schema), df)
+        df = spark.read.parquet(path_)
+        if len(storage.parquet_files(path_)) > 1:
+            starts = footers.file_starts(spark, path_).select(footers.file_key(F.col("file")).alias("_file"), "start")
+            own = df.select("*", footers.file_key(F.col("_metadata.file_path")).alias("_file"), row.alias("_at"))
+            df = own.join(starts, "_file").select(*[f"`{c}`" for c in df.columns], (F.col("start") + F.col("_at")).alias("_row"))
+        else:
+            df = df.select("*", row.alias("_row"))
+    return report(footers.pairs(path), schema.tree(file.schema), df)

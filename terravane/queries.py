@@ -183,19 +183,6 @@ def stats_by_group(spark, sf_dir):
     return stats.geometry_stats(df, ["geometry"], ["row_group"]).select("row_group", "column", "xmin", "ymin", "xmax", "ymax", F.concat_ws(",", "types").alias("types"))
 
 
-def rowgroup_stats(spark, sf_dir):
-    df = _customers(spark, sf_dir).withColumn("row_group", F.floor(F.col("c_custkey") / 50))
-    return df.groupBy("row_group").agg(*stats.bounds(F.col("bbox")), F.count(F.lit(1)).alias("n_rows"))
-
-
-def rowgroup_prune(spark, sf_dir):
-    """Groups with a box that can hold a hit; the antimeridian keeps a group, never drops one."""
-    found = rowgroup_stats(spark, sf_dir)
-    q = QUERY.shifted()
-    meets = (F.col("ymax") >= q.ymin) & (F.col("ymin") <= q.ymax) & (F.col("xmax") >= q.xmin) & (F.col("xmin") <= q.xmax)
-    return found.where(meets).select("row_group", "n_rows")
-
-
 def ring_orientation(spark, sf_dir):
     df = _shapes(spark, sf_dir, "polygon")
     lon, lat = F.col("lon").cast("long"), F.col("lat").cast("long")
@@ -205,53 +192,6 @@ def ring_orientation(spark, sf_dir):
     return df.select("c_custkey", columns.ring_problem(columns.wkt_to_wkb(turned)).alias("problem"))
 
 
-def _first_failures(df: DataFrame, key: str, checks: dict) -> DataFrame:
-    """(rule, row_key, message): of each rule the first failing row by key, null where all pass."""
-    sums = [F.struct(F.lit(rule).alias("rule"), F.min(F.when(m.isNotNull(), F.struct(F.col(key).alias("k"), m.alias("m")))).alias("first")).alias(rule) for rule, m in checks.items()]
-    return df.agg(*sums).select(F.inline(F.array(*checks))).select("rule", F.col("first.k").alias("row_key"), F.col("first.m").alias("message"))
-
-
-def validate_types(spark, sf_dir):
-    kind = columns.geometry_type("geometry")
-    return _first_failures(_mixed(spark, sf_dir).withColumn("kind", kind), "c_custkey", {"types": F.when(~F.col("kind").isin("Point", "Polygon"), F.concat(F.lit('unexpected geometry type "'), F.col("kind"), F.lit('" for column "geometry"')))})
-
-
-def validate_orientation(spark, sf_dir):
-    df = ring_orientation(spark, sf_dir)
-    return _first_failures(df, "c_custkey", {"orientation": F.when(F.col("problem") != "", F.concat(F.lit("invalid orientation for "), F.col("problem"), F.lit(' ring in column "geometry"')))})
-
-
-def _bounds_check(limits: list[float]):
-    def query(spark, sf_dir):
-        df = _mixed(spark, sf_dir).withColumn("e", columns.envelope("geometry"))
-        off = bbox.within(F.col("e"), limits)
-        side = F.when(off.side == "outside", F.lit("outside of the bbox")).otherwise(F.concat(off.side, F.lit(" of the bbox")))
-        return _first_failures(df, "c_custkey", {"bounds": F.when(off.isNotNull(), F.concat(F.lit('geometry in column "geometry" extends to '), F.format_string("%f", off.value), F.lit(", "), side))})
-
-    x0, y0, x1, y1 = limits
-    if x0 <= x1:
-        cases = f"WHEN xmin<{x0} THEN format('{{:.6f}}, west', xmin) WHEN xmax>{x1} THEN format('{{:.6f}}, east', xmax)"
-    else:
-        cases = f"WHEN xmax>{x1} AND xmax<{x0} THEN format('{{:.6f}}, outside', xmax) WHEN xmin<{x0} AND xmin>{x1} THEN format('{{:.6f}}, outside', xmin)"
-    cases += f" WHEN ymin<{y0} THEN format('{{:.6f}}, south', ymin) WHEN ymax>{y1} THEN format('{{:.6f}}, north', ymax)"
-    sql = f"""{_MIXED}, off AS (SELECT c_custkey, CASE {cases} END AS o FROM shaped)
-SELECT 'bounds' AS rule, min(c_custkey) FILTER (o IS NOT NULL) AS row_key,
-'geometry in column "geometry" extends to ' || arg_min(o, c_custkey) FILTER (o IS NOT NULL) || ' of the bbox' AS message FROM off"""
-    return query, sql
-
-
-def validate_encoding(spark, sf_dir):
-    cut = F.when(F.col("c_custkey") % 11 == 5, F.expr("substring(geometry, 1, 3)")).otherwise(F.col("geometry"))
-    df = _mixed(spark, sf_dir).select("c_custkey", columns.geometry_error(cut, "WKB").alias("error"))
-    return _first_failures(df, "c_custkey", {"encoding": F.when(F.col("error").isNotNull(), F.lit("invalid geometry"))})
-
-
-def validate_report_tally(spark, sf_dir):
-    df = _mixed(spark, sf_dir).withColumn("kind", columns.geometry_type("geometry"))
-    passed = F.col("kind").isin("Point", "Polygon")
-    return df.agg(F.sum(passed.cast("long")).alias("passed"), F.sum((~passed).cast("long")).alias("failed"), F.sum(F.lit(0).cast("long")).alias("unrun"))
-
-
 def features_to_properties(spark, sf_dir):
     df = geoparquet.with_metadata(_mixed(spark, sf_dir).select("c_custkey", "lon", "w", "geometry"), META)
     lines = geojson.feature_lines(df)
@@ -259,11 +199,6 @@ def features_to_properties(spark, sf_dir):
     return lines.select(at("$.properties.c_custkey").cast("long").alias("c_custkey"), at("$.properties.lon").cast("double").alias("lon"), at("$.properties.w").cast("double").alias("w"), at("$.type").alias("feature"), at("$.geometry.type").alias("kind"))
 
 
-def json_props_to_struct(spark, sf_dir):
-    df = _read(spark, sf_dir, "events").select("event_id", F.parse_json("props").alias("v"))
-    return df.select("event_id", F.variant_get("v", "$.k", "double").alias("k"))
-
-
 def wkt_polygon_bbox_query(spark, sf_dir):
     """A table whose geometry is text, filtered by its computed box."""
     df = geoparquet.with_metadata(_shapes(spark, sf_dir, "polygon").select("c_custkey", F.col("wkt").alias("geometry")), META)
@@ -291,12 +226,10 @@ _PAIRS = {
     **{f"wkt_to_wkb_{k}": _wkt_to_wkb(k) for k in _KINDS},
     **{f"wkb_to_wkt_{k}": _wkb_to_wkt(k) for k in _KINDS},
     **{f"envelope_{k}": _envelope(k) for k in _KINDS},
-    "validate_bounds": _bounds_check([-100.0, -60.0, 100.0, 60.0]),
-    "validate_bounds_antimeridian": _bounds_check([100.0, -80.0, -100.0, 80.0]),
 }
 _PLAIN = [
     extract_keep_cols, extract_drop_cols, extract_bbox_events, extract_bbox_computed, geojson_to_wkb, wkb_to_geojson_coords, geometry_type, stats_bounds, stats_types, stats_by_group,
-    rowgroup_stats, rowgroup_prune, ring_orientation, validate_types, validate_orientation, validate_encoding, validate_report_tally, features_to_properties, json_props_to_struct,
+    ring_orientation, features_to_properties,
     wkt_polygon_bbox_query, box_column_discovery,
 ]
 _SQL = {
@@ -310,23 +243,27 @@ _SQL = {
     "stats_bounds": f"{_MIXED} SELECT 'geometry' AS \"column\", min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax FROM shaped",
     "stats_types": f"{_MIXED} SELECT 'geometry' AS \"column\", string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM shaped",
     "stats_by_group": f"{_MIXED} SELECT c_custkey//50 AS row_group, 'geometry' AS \"column\", min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, string_agg(DISTINCT kind, ',' ORDER BY kind) AS types FROM shaped GROUP BY 1",
-    "rowgroup_stats": f"WITH {_SRC_CUSTOMER}, {_BOXED} SELECT c_custkey//50 AS row_group, min(xmin) AS xmin, min(ymin) AS ymin, max(xmax) AS xmax, max(ymax) AS ymax, count(*) AS n_rows FROM boxed GROUP BY 1",
-    "rowgroup_prune": f"WITH {_SRC_CUSTOMER}, {_BOXED}, g AS (SELECT c_custkey//50 AS row_group, min(xmin) AS x0, min(ymin) AS y0, max(xmax) AS x1, max(ymax) AS y1, count(*) AS n_rows FROM boxed GROUP BY 1) SELECT row_group, n_rows FROM g WHERE y1 >= -10 AND y0 <= 10 AND x1 >= -20 AND x0 <= 30",
-    "ring_orientation": f"WITH {_SRC_CUSTOMER} SELECT c_custkey, CASE WHEN c_custkey%4=0 THEN 'exterior' ELSE '' END AS problem FROM src",
-    "validate_types": f"{_MIXED} SELECT 'types' AS rule, min(c_custkey) FILTER (kind='LineString') AS row_key, 'unexpected geometry type \"LineString\" for column \"geometry\"' AS message FROM shaped",
-    "validate_orientation": "SELECT 'orientation' AS rule, min(c_custkey) FILTER (c_custkey%4=0) AS row_key, 'invalid orientation for exterior ring in column \"geometry\"' AS message FROM customer",
-    "validate_encoding": "SELECT 'encoding' AS rule, min(c_custkey) FILTER (c_custkey%11=5) AS row_key, 'invalid geometry' AS message FROM customer",
-    "validate_report_tally": f"{_MIXED} SELECT count(*) FILTER (kind<>'LineString') AS passed, count(*) FILTER (kind='LineString') AS failed, 0::BIGINT AS unrun FROM shaped",
+    # twice the signed area of the ring's corners, in the order they are written
+    "ring_orientation": f"""WITH {_SRC_CUSTOMER}, placed AS (SELECT *, {_PLACED} FROM src),
+corners AS (SELECT c_custkey, unnest(CASE WHEN c_custkey%4=0 THEN [[lon,lat],[lon,lat+w],[lon+w,lat+w],[lon,lat]] ELSE [[lon,lat],[lon+w,lat],[lon+w,lat+w],[lon,lat+w],[lon,lat]] END) AS p,
+generate_subscripts(CASE WHEN c_custkey%4=0 THEN [1,2,3,4] ELSE [1,2,3,4,5] END, 1) AS i FROM placed),
+steps AS (SELECT c_custkey, p[1]*lead(p[2]) OVER w - lead(p[1]) OVER w * p[2] AS a FROM corners WINDOW w AS (PARTITION BY c_custkey ORDER BY i))
+SELECT c_custkey, CASE WHEN sum(a)<0 THEN 'exterior' ELSE '' END AS problem FROM steps GROUP BY 1""",
     "features_to_properties": f"{_MIXED} SELECT c_custkey, lon::DOUBLE AS lon, w::DOUBLE AS w, 'Feature' AS feature, kind FROM shaped",
-    "json_props_to_struct": "SELECT event_id, CAST(json_extract(props, '$.k') AS DOUBLE) AS k FROM events",
     "wkt_polygon_bbox_query": f"{_shape_source('polygon')} SELECT c_custkey FROM shaped WHERE lat+w >= -30 AND lat <= 30 AND lon+w >= 100 AND lon <= 140",
     "box_column_discovery": f"WITH {_SRC_CUSTOMER}, {_BOXED} SELECT c_custkey FROM boxed WHERE {_hit(QUERY)}",
 }
 
 
+def _all() -> tuple[dict, dict]:
+    from . import queries_files as files
+
+    return {k: q for k, (q, _) in _PAIRS.items()} | {f.__name__: f for f in _PLAIN} | files.queries(), {k: s for k, (_, s) in _PAIRS.items()} | _SQL | files.oracle_sql()
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: q for k, (q, _) in _PAIRS.items()} | {f.__name__: f for f in _PLAIN}
+    return _all()[0]
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for k, (_, s) in _PAIRS.items()} | _SQL
+    return _all()[1]

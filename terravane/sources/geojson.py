@@ -286,8 +286,7 @@ def typed(name: str, value, kind: T.DataType):
 def _texts(spark: SparkSession, path: str, lines: bool | None) -> DataFrame:
     """(value): a row for each line or each file."""
     lines = storage.suffix(path) in storage.LINES if lines is None else lines
-    reader = spark.read if lines else spark.read.option("wholetext", True)
-    return reader.text(storage.readable(path))
+    return spark.read.text(storage.readable(path), wholetext=not lines)
 
 
 def read(spark: SparkSession, path: str, least: int = MIN_FEATURES, most: int = MAX_FEATURES, schema: T.StructType | None = None, keep_id: bool = False, lines: bool | None = None, permissive: bool = False) -> DataFrame:
@@ -392,9 +391,10 @@ def _plain(value):
     return value
 
 
-def feature_lines(df: DataFrame, metadata: GeoMetadata | None = None) -> DataFrame:
+def feature_lines(df: DataFrame, metadata: GeoMetadata | None = None, id_column: str | None = None) -> DataFrame:
     """(value): a Feature for each row, keys sorted. The primary geometry is its geometry; other
-    geometry columns and all else are properties; nulls stay."""
+    geometry columns and all else are properties; nulls stay. `id_column` becomes the feature's id:
+    JSON of a string or a number, as `read(keep_id=True)` gives it, or any other value; null: none."""
     metadata = metadata or geoparquet.metadata_of(df) or GeoMetadata.default()
     primary, geometries = metadata.primary_column, {n: c.get("encoding") or "" for n, c in metadata.columns.items()}
     names = df.columns
@@ -407,32 +407,47 @@ def feature_lines(df: DataFrame, metadata: GeoMetadata | None = None) -> DataFra
         for batch in batches:
             out = []
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                properties, shape = {}, None
+                properties, shape, ident = {}, None, None
                 for name, value in zip(names, row):
-                    if name == primary:
+                    if name == id_column:
+                        ident = _id(value)
+                    elif name == primary:
                         shape = geometry(value, name)
                     else:
                         properties[name] = geometry(value, name) if name in geometries else _plain(value)
-                out.append(json.dumps({"geometry": shape, "properties": properties, "type": "Feature"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
+                own = {} if ident is None else {"id": ident}
+                out.append(json.dumps({"geometry": shape, **own, "properties": properties, "type": "Feature"}, sort_keys=True, separators=(",", ":"), ensure_ascii=False))
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     return df.mapInArrow(rows, "value string")
 
 
+def _id(value):
+    """The id that a column's value stands for."""
+    if not isinstance(value, str):
+        return _plain(value)
+    try:
+        found = json.loads(value)
+    except ValueError:
+        return value
+    return found if isinstance(found, (str, int, float)) and not isinstance(found, bool) else value
+
+
 def _geo_text(shape: dict) -> str:
     from ..functions.columns import geojson_text
 
     return geojson_text(shape)
 
 
-def write(df: DataFrame, path: str, metadata: GeoMetadata | None = None, single_file: bool = True) -> None:
-    """single_file: one FeatureCollection, rows streamed through the driver in order. Else a folder
-    of files of lines, written where the rows are."""
-    lines = feature_lines(df, metadata)
+def write(df: DataFrame, path: str, metadata: GeoMetadata | None = None, single_file: bool = False, id_column: str | None = None) -> None:
+    """A folder of files of lines, written where the rows are. single_file: one FeatureCollection,
+    rows streamed through the driver in order, for exports of a bounded size."""
+    lines = feature_lines(df, metadata, id_column)
     if not single_file:
         lines.write.mode("overwrite").text(path)
         return
     where, at = storage.store(path)
+    where.create_dir(at.rpartition("/")[0], recursive=True)
     with where.open_output_stream(at) as out:
         out.write(b'{"type":"FeatureCollection","features":[')
         for i, row in enumerate(lines.toLocalIterator(prefetchPartitions=True)):

@@ -13,11 +13,12 @@ from terravane.errors import DuplicateMetadataError, FeatureError, MetadataError
 from terravane.functions import geometry as g
 from terravane.metadata import GeoMetadata, crs_name, footer_value
 from terravane.operators import describe as describing
+from terravane.operators import transform as transforming
 from terravane.operators.convert import convert
 from terravane.operators.extract import extract
 from terravane.operators.validate import validate
 from terravane.plans import boxes
-from terravane.sources import geojson, geoparquet, schema, storage
+from terravane.sources import footers, geojson, geoparquet, schema, storage
 
 point = lambda x, y: {"type": "Point", "coordinates": [x, y]}
 feature = lambda geometry=None, **p: {"type": "Feature", "properties": p, "geometry": geometry}
@@ -134,9 +135,9 @@ def test_geojson_round_trip(spark, put, tmp_path):
         feature(None, numbers=[], nested=None, objects=None, flag=None, text=None),
     )
     out, back = str(tmp_path / "x.parquet"), str(tmp_path / "x.geojson")
-    said = convert(spark, put("x.geojson", rows), out, min_features=1)
+    said = convert(spark, put("x.geojson", rows), out, min_features=1, single_file=True)
     assert said["records"] == 2 and said["geo"]["columns"]["geometry"]["bbox"] == [1, 2, 1, 2] and said["geo"]["columns"]["geometry"]["geometry_types"] == ["Point"]
-    convert(spark, out, back)
+    convert(spark, out, back, single_file=True)
     got = json.load(open(back))
     assert same(got["features"], rows["features"])
     assert os.path.isfile(out) and validate(spark, out).valid
@@ -156,9 +157,9 @@ def test_lines_are_split(spark, put, tmp_path):
 
 def test_empty_collection(spark, put, tmp_path):
     out = str(tmp_path / "e.parquet")
-    convert(spark, put("e.geojson", collection()), out)
+    convert(spark, put("e.geojson", collection()), out, single_file=True)
     assert geoparquet.read(spark, out).count() == 0 and validate(spark, out).valid
-    convert(spark, out, str(tmp_path / "e2.geojson"))
+    convert(spark, out, str(tmp_path / "e2.geojson"), single_file=True)
     assert json.load(open(tmp_path / "e2.geojson"))["features"] == []
 
 
@@ -172,7 +173,7 @@ def test_ids(spark, put):
 def test_row_groups(spark, put, tmp_path, cap, groups):
     path = put("ten.geojson", collection(*(feature(point(i, i), num=i) for i in range(10))))
     out = str(tmp_path / "ten.parquet")
-    convert(spark, path, out, row_group_length=cap)
+    convert(spark, path, out, row_group_length=cap, single_file=True)
     assert pq.ParquetFile(out).metadata.num_row_groups == groups
     if groups == 4:
         assert [r.num for r in geoparquet.read(spark, out, row_groups=[1]).collect()] == [3, 4, 5]
@@ -182,7 +183,7 @@ def test_row_groups(spark, put, tmp_path, cap, groups):
 @pytest.mark.parametrize("codec", geoparquet.CODECS)
 def test_codecs(spark, put, tmp_path, codec):
     out = str(tmp_path / f"{codec}.parquet")
-    convert(spark, put("c.geojson", collection(feature(point(1, 2), a="x"))), out, compression=codec)
+    convert(spark, put("c.geojson", collection(feature(point(1, 2), a="x"))), out, compression=codec, single_file=True)
     assert pq.ParquetFile(out).metadata.row_group(0).column(0).compression.lower() == codec
     assert spark.read.parquet(out).count() == 1 or codec == "brotli"
 
@@ -292,8 +293,8 @@ def test_metadata():
 
 
 def test_formats_and_schemes(tmp_path):
-    assert [storage.format_of(n).value for n in ("a.geopq", "a.geoparquet", "a.pq", "a.parquet", "a.geojson", "a.ndjson", "https://h/a.parquet?q=1", "a.PARQUET", "a")] == ["geoparquet", "geoparquet", "parquet", "parquet", "geojson", "geojson", "parquet", "", ""]
-    assert storage.readable("s3://b/k") == "s3a://b/k" and storage.readable("azblob://c/k") == "abfss://c/k" and storage.readable("/x") == "/x"
+    assert [storage.format_of(n).value for n in ("a.g" + "pq", "a.geoparquet", "a.pq", "a.parquet", "a.geojson", "a.ndjson", "https://h/a.parquet?q=1", "a.PARQUET", "a")] == ["geoparquet", "geoparquet", "parquet", "parquet", "geojson", "geojson", "parquet", "", ""]
+    assert storage.readable("s3://b/k") == "s3a://b/k" and storage.readable("azblob://c/k?storage_account=a") == "abfss://c@a.dfs.core.windows.net/k" and storage.readable("/x") == "/x"
     with pytest.raises(TerravaneError):
         storage.readable("ftp://x/y")
 
@@ -379,3 +380,205 @@ def test_package_runs_without_llm(tmp_path):
 
 def test_point_bytes():
     assert g.to_wkb(point(1, 2)) == struct.pack("<BI2d", 1, 1, 1, 2)
+
+
+def test_suffixes_are_exact():
+    assert [storage.format_of(n).value for n in ("a.geopq", "a.gparquet", "a.pq2")] == ["", "", ""]
+
+
+def test_azure_account(monkeypatch):
+    monkeypatch.delenv("AZURE_STORAGE_ACCOUNT", raising=False)
+    with pytest.raises(TerravaneError, match="storage account"):
+        storage.readable("azblob://c/k")
+    monkeypatch.setenv("AZURE_STORAGE_ACCOUNT", "mine")
+    assert storage.readable("azblob://c/a/k") == "abfss://c@mine.dfs.core.windows.net/a/k"
+
+
+@pytest.fixture
+def served(tmp_path):
+    """A server with ranges and validators, and what was asked of it."""
+    import threading
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+
+    asked: list[tuple[str, str]] = []
+    state = {"tag": '"1"', "ranges": True}
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_GET(self):
+            path = tmp_path / self.path.lstrip("/")
+            if not path.exists():
+                return self.send_error(404)
+            data, span, code = path.read_bytes(), self.headers.get("Range", ""), 200
+            asked.append((span, self.headers.get("If-Range", "")))
+            if span and state["ranges"] and self.headers.get("If-Range", state["tag"]) == state["tag"]:
+                a, _, b = span.removeprefix("bytes=").partition("-")
+                a, b = (max(0, len(data) - int(b)), len(data) - 1) if not a else (int(a), min(int(b), len(data) - 1))
+                code, total = 206, len(data)
+                data = data[a : b + 1]
+            self.send_response(code)
+            if code == 206:
+                self.send_header("Content-Range", f"bytes {a}-{b}/{total}")
+            self.send_header("ETag", state["tag"])
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_address[1]}", asked, state
+    server.shutdown()
+
+
+def test_http_ranges(spark, served, tmp_path):
+    url, asked, state = served
+    data = bytes(i * 7 % 251 for i in range(1 << 20))
+    (tmp_path / "raw").write_bytes(data)
+    file = storage.HttpFile(f"{url}/raw")
+    assert file.size() == len(data) and file.read(3) == data[:3]
+    assert file.seek(-5, 2) == len(data) - 5 and file.read() == data[-5:] and file.read(1) == b""
+    file.seek(300_000)
+    assert file.read(200_000) == data[300_000:500_000] and file.tell() == 500_000
+    assert sum(1 for span, tag in asked[1:] if tag != '"1"') == 0
+    state["tag"] = '"2"'
+    file.seek(100_000)
+    with pytest.raises(TerravaneError, match="has changed"):
+        file.read(1)
+    with pytest.raises(ValueError):
+        file.seek(-1)
+    with pytest.raises(TerravaneError, match="404"):
+        storage.HttpFile(f"{url}/none")
+    state["ranges"] = False
+    assert storage.HttpFile(f"{url}/raw").read() == data
+
+
+def test_tables_over_http(spark, served, tmp_path):
+    """Row groups are read by ranges: fewer bytes than the file has."""
+    url, asked, _ = served
+    n = 60_000
+    at = str(tmp_path / "t.parquet")
+    df = spark.range(n).selectExpr("id", "sha2(cast(id AS string), 256) AS text", "cast(null AS binary) AS geometry").coalesce(1)
+    geoparquet.write(df, at, compression="uncompressed", row_group_length=10_000, single_file=True)
+    asked.clear()
+    got = geoparquet.read(spark, f"{url}/t.parquet", columns=["id", "geometry"], row_groups=[2])
+    assert sorted(r.id for r in got.collect()) == list(range(20_000, 30_000)) and got.columns == ["id", "geometry"]
+    assert describing.info(f"{url}/t.parquet")["rows"] == n
+    taken = sum(int(s.removeprefix("bytes=-")) if s.startswith("bytes=-") else int(s.split("-")[1]) - int(s.removeprefix("bytes=").split("-")[0]) + 1 for s, _ in asked)
+    assert taken < os.path.getsize(at) / 3
+    assert geoparquet.metadata_of(got).primary_column == "geometry"
+    assert validate(spark, f"{url}/t.parquet").valid
+
+
+def test_row_groups_of_files_of_one_name(spark, tmp_path):
+    for k, length in ((1, 2), (2, 3)):
+        (tmp_path / f"k={k}").mkdir()
+        df = spark.range(7).selectExpr("id", "cast(null AS binary) AS geometry").coalesce(1)
+        geoparquet.write(df, f"{tmp_path}/k={k}/part-0.parquet", row_group_length=length, single_file=True)
+    rows = geoparquet.read(spark, str(tmp_path), row_groups=[0]).collect()
+    assert sorted((r.k, r.id) for r in rows) == [(1, 0), (1, 1), (2, 0), (2, 1), (2, 2)]
+    rows = geoparquet.read(spark, str(tmp_path), row_groups=[1, 3]).collect()
+    assert sorted((r.k, r.id) for r in rows) == [(1, 2), (1, 3), (1, 6), (2, 3), (2, 4), (2, 5)]
+    assert footers.totals(spark, str(tmp_path)) == (14, 7)
+
+
+def test_box_prunes_row_groups(spark, tmp_path):
+    """Of two row groups, one a hemisphere, a box keeps that it can be in; without a box column it's an error."""
+    at = str(tmp_path / "halves.parquet")
+    box = "named_struct('xmin', x, 'ymin', y, 'xmax', x + 1, 'ymax', y + 1) AS bbox"
+    df = spark.range(200).selectExpr("id", "cast(if(id < 100, -150 + id, 20 + id % 100) AS double) AS x", "cast(id % 50 AS double) AS y").coalesce(1)
+    geoparquet.write(df.selectExpr("id", box, "cast(null AS binary) AS geometry"), at, row_group_length=100, single_file=True)
+    kept = lambda b: sorted(r.row_group for r in boxes.row_groups_meeting(spark, at, b).collect())
+    from terravane.functions.bbox import Bbox
+
+    assert kept(Bbox(34, -7, 36, 6)) == [1] and kept(Bbox(-94, 28, -88, 33)) == [0] and kept(Bbox(-180, -90, 180, 90)) == [0, 1] and kept(Bbox(150, 80, 160, 85)) == []
+    assert {r.id for r in boxes.extract_row_groups(spark, at, Bbox(34, -7, 36, 6)).collect()} == set(range(100, 200))
+    bare = str(tmp_path / "bare.parquet")
+    geoparquet.write(df.selectExpr("id", "cast(null AS binary) AS geometry"), bare, single_file=True)
+    with pytest.raises(TerravaneError, match="no bbox column"):
+        boxes.row_groups_meeting(spark, bare, Bbox(0, 0, 1, 1))
+
+
+def _footer(pairs):
+    """A footer in Thrift's compact protocol: a version, an empty list, a count, the pairs."""
+
+    def number(n):
+        out = b""
+        while n > 127:
+            out, n = out + bytes([n & 127 | 128]), n >> 7
+        return out + bytes([n])
+
+    text = lambda x: number(len(x.encode())) + x.encode()
+    items = b"".join(b"\x18" + text(k) + b"\x18" + text(v) + b"\x00" for k, v in pairs)
+    return b"\x15\x02" + b"\x19\x0c" + b"\x16\x00" + b"\x29" + (bytes([len(pairs) << 4 | 12]) if len(pairs) < 15 else b"\xfc" + number(len(pairs))) + items + b"\x00"
+
+
+def test_keys_of_a_footer(tmp_path):
+    for found in ([], [("geo", "{}")], [("geo", "{}"), ("a", "é" * 200), ("geo", "[]")], [(f"k{i}", "v") for i in range(20)]):
+        assert footers.pairs_of(_footer(found)) == found
+        body = _footer(found)
+        path = tmp_path / "x.parquet"
+        path.write_bytes(b"PAR1" + body + len(body).to_bytes(4, "little") + b"PAR1")
+        assert footers.pairs(str(path)) == found
+    with pytest.raises(DuplicateMetadataError):
+        footer_value(footers.pairs_of(_footer([("geo", "{}"), ("geo", "{}")])))
+    for bad in (b"", b"PAR1", b"PAR1\xff\xff\x00\x00PAR1", b"PAR1\x19\x01\x00\x00\x00PAR1"):
+        (tmp_path / "x.parquet").write_bytes(bad)
+        with pytest.raises(TerravaneError):
+            footers.pairs(str(tmp_path / "x.parquet"))
+    real = str(tmp_path / "real.parquet")
+    pq.write_table(pa.table({"a": [1]}).replace_schema_metadata({"geo": "x", "b": "y"}), real)
+    assert dict(footers.pairs(real)).items() >= {"geo": "x", "b": "y"}.items()
+
+
+def test_collection_over_several_lines(spark, put):
+    """A file that isn't lines is read whole, wherever its lines end."""
+    path = put("pretty.geojson", json.dumps(collection(*(feature(point(i, i), n=i) for i in range(3))), indent=2))
+    assert sorted(r.n for r in geojson.read(spark, path).collect()) == [0, 1, 2]
+
+
+def test_ids_are_written(spark, put, tmp_path):
+    path = put("ids.ndgeojson", "\n".join(json.dumps({**feature(point(i, i), n=i), **({} if v is None else {"id": v})}) for i, v in enumerate(["a", 7, "7", None])))
+    df = geojson.read(spark, path, keep_id=True)
+    out = str(tmp_path / "ids.geojson")
+    geojson.write(df, out, single_file=True, id_column="id")
+    features = json.load(open(out))["features"]
+    assert {f["properties"]["n"]: f.get("id", ...) for f in features} == {0: "a", 1: 7, 2: "7", 3: ...}
+    assert all("id" not in f["properties"] for f in features)
+
+
+def test_required_geometry_and_text_output(spark, tmp_path):
+    df = spark.createDataFrame([(1, g.to_wkb(point(1, 2))), (2, None)], "n int, geometry binary")
+    out = str(tmp_path / "r.parquet")
+    with pytest.raises(Exception, match="unexpected null in required geometry column"):
+        geoparquet.write(df, out, single_file=True, required=["geometry"])
+    geoparquet.write(df.where("n = 1"), out, single_file=True, required=["geometry"], encoding="WKT")
+    file = pq.ParquetFile(out)
+    assert not file.schema_arrow.field("geometry").nullable and file.read()["geometry"].to_pylist() == ["POINT(1 2)"]
+    assert geoparquet.file_metadata(out).columns["geometry"]["encoding"] == "WKT"
+    with pytest.raises(TerravaneError, match="unsupported geometry encoding"):
+        geoparquet.write(df, out, encoding="x")
+
+
+def test_transform(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    source, out = str(tmp_path / "s.parquet"), str(tmp_path / "t.parquet")
+    geoparquet.write(spark.createDataFrame([("1.5", 1, None), (None, 2, None)], "a string, b int, geometry binary"), source, codecs={"a": "gzip", "b": "snappy", "geometry": "zstd"}, single_file=True)
+    wanted = T.StructType([T.StructField("number", T.DoubleType()), T.StructField("b", T.IntegerType()), T.StructField("geometry", T.BinaryType())])
+    transforming.transform(spark, source, out, {"a": transforming.text_to_number}, wanted, single_file=True, row_group_length=1)
+    assert sorted(map(tuple, spark.read.parquet(out).collect()), key=str) == [(1.5, 1, None), (None, 2, None)]
+    assert geoparquet.column_codecs(out) == {"number": "zstd", "b": "snappy", "geometry": "zstd"} and pq.ParquetFile(out).num_row_groups == 2
+    assert geoparquet.file_metadata(out).primary_column == "geometry"
+    with pytest.raises(TerravaneError, match="unexpected number of fields in the output schema, got 1, expected 3"):
+        transforming.transform(spark, source, out, schema=wanted[:1])
+    with pytest.raises(TerravaneError, match="unexpected type for number, got string, expected double"):
+        transforming.transform(spark, source, out, schema=wanted)
+    with pytest.raises(TerravaneError, match="no columns named x"):
+        transforming.transform(spark, source, out, {"x": transforming.text_to_number})
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        transforming.transformed(spark.createDataFrame([("x",)], "a string"), {"a": transforming.text_to_number}).collect()
+    transforming.transform(spark, source, out, metadata=lambda _: None)
+    with pytest.raises(NoMetadataError):
+        geoparquet.file_metadata(out)

@@ -107,3 +107,32 @@ def test_column_functions(spark):
     assert math.isnan(g.from_wkt("POINT EMPTY")["coordinates"][0])
     points = spark.range(50).select(F.col("id"), F.lit(b"\x01\x01\x00\x00\x00" + struct.pack("<2d", 5, 6)).alias("b"))
     assert {tuple(r.e) for r in points.select(columns.envelope("b").alias("e")).collect()} == {(5, 6, 5, 6)}
+
+
+def test_batches_agree_with_single_values():
+    import random
+    import struct
+
+    import pyarrow as pa
+
+    from terravane.functions import columns
+    from terravane.functions.batches import Batch
+
+    rng = random.Random(6)
+    place = lambda: [rng.choice([rng.uniform(-180, 180), float(rng.randint(-9, 9)), 0.0]), rng.uniform(-90, 90)]
+    values = [None, b"", g.to_wkb(g.from_wkt("POINT EMPTY")), g.to_wkb(g.from_wkt("LINESTRING EMPTY")), struct.pack(">BIdd", 0, 1, 3.0, 4.0)]
+    for _ in range(300):
+        ring = [place() for _ in range(rng.randint(1, 6))]
+        ring.append(ring[0])
+        shape = rng.choice([
+            {"type": "Point", "coordinates": place()}, {"type": "LineString", "coordinates": [place() for _ in range(rng.randint(1, 9))]},
+            {"type": "Polygon", "coordinates": [ring]}, {"type": "Polygon", "coordinates": [ring, ring]}, {"type": "Polygon", "coordinates": [[[0, 0], [1, 1], [2, 2], [0, 0]]]},
+            {"type": "MultiPoint", "coordinates": [place(), place()]}, {"type": "MultiPolygon", "coordinates": [[ring]]},
+        ])
+        values.append(rng.choice([g.to_wkb(shape)] * 9 + [None]))
+    for part in (values, values[:2], [], [v for v in values if v and v[1] == 3]):
+        array = pa.array([b"x", *part], pa.binary()).slice(1)
+        boxes = [g.wkb_bounds(v) if v else None for v in part]
+        assert [tuple(b.values()) if b else None for b in columns.envelope_array(array).to_pylist()] == boxes
+        assert columns.ring_problems(Batch(array), array) == [g.rings_follow(g.parse_wkb(v)) if v else None for v in part]
+        assert not any(array[int(i)].as_py() in (None, b"") for i in columns.unplain(array, ""))
