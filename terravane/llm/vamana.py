@@ -2,8 +2,9 @@
 
 Distinct unit vectors are dealt by hash to shards of bounded size. In each, points enter a graph in
 batches: a greedy search from the middle proposes neighbours, pruning with relaxed distance keeps
-diverse edges, and edges go both ways under a degree bound. Queries, in blocks, search every shard
-with a beam; what they reach is scored anew on the original vectors in double precision.
+diverse edges, and edges go both ways under a degree bound. Queries travel in blocks to every shard,
+which stays where it is, and search it with a beam; what they reach is scored anew on the original
+vectors in double precision.
 """
 
 from __future__ import annotations
@@ -17,7 +18,9 @@ from . import common
 
 DEGREE, BEAM, RELAX = 32, 64, 1.2
 SEARCH_BEAM = 160
-SHARD_ROWS, BLOCK_ROWS = 4000, 1000
+SHARD_ROWS, BLOCK_ROWS = 8000, 1000
+#: Blocks of queries that one task takes to a shard; more queries make more tasks, each with its copy.
+TASK_BLOCKS = 64
 
 
 class Graph:
@@ -150,8 +153,9 @@ def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
 
 def index(rows: DataFrame, k: int, scratch: common.Scratch, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """A row for each shard: (dim, shard, n, vectors binary, ids array<array<long>>, edges binary,
-    entry). Of rows with one vector the k + 1 smallest ids are kept, as more can't be among a
-    query's k nearest; all other rows are indexed whole."""
+    entry). `rows` (id, v) are as `usable` gives them: no nulls, no zero vectors. Of rows with one
+    vector the k + 1 smallest ids are kept, as more can't be among a query's k nearest; all other rows
+    are indexed whole. No rows, no shards. A task builds a shard."""
     least = F.row_number().over(Window.partitionBy("v").orderBy("id"))
     distinct = rows.withColumn("_r", least).where(F.col("_r") <= k + 1).groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     distinct = scratch.keep(distinct.withColumn("dim", F.size("v")), "vectors")
@@ -168,7 +172,9 @@ def index(rows: DataFrame, k: int, scratch: common.Scratch, shard_rows: int = SH
         cols = [pa.array([dim], pa.int32()), pa.array([shard], pa.int32()), pa.array([len(flat)], pa.int32()), pa.array([flat.tobytes()], pa.binary()), pa.array([ids], pa.list_(pa.list_(pa.int64()))), pa.array([graph.edges.tobytes()], pa.binary()), pa.array([graph.entry], pa.int32())]
         return pa.Table.from_arrays(cols, names=["dim", "shard", "n", "vectors", "ids", "edges", "entry"])
 
-    return scratch.keep(dealt.groupBy("dim", "shard").applyInArrow(build, schema), "index")
+    # a stated number of partitions, which isn't coalesced: few tasks get two shards
+    spread = dealt.repartition(2 * shards, "dim", "shard")
+    return scratch.keep(spread.groupBy("dim", "shard").applyInArrow(build, schema), "index")
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -179,15 +185,19 @@ def _unit(vectors: np.ndarray) -> np.ndarray:
 def search(indexed: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BEAM) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest found, a query's own id left out.
 
-    Queries lie in blocks by hash of their id; each shard meets each block of its dimension.
+    Queries (id, v), as `usable` gives them, lie in blocks by hash of their id; every block goes to
+    every shard of its dimension. Queries are the small side: shards move once. No queries or no
+    shards give no rows.
     """
-    spark = queries.sparkSession
-    n = queries.count()
+    n, shards = queries.count(), (indexed.agg(F.max("shard").alias("s")).first().s or 0) + 1
     blocks = max(1, -(-n // BLOCK_ROWS))
+    copies = -(-blocks // TASK_BLOCKS)
     packed = queries.withColumn("dim", F.size("v")).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    packed = packed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))
-    meets = indexed.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(packed, ["dim", "block"])
-    meets = meets.repartition(max(spark.sparkContext.defaultParallelism, 2 * blocks), "shard", "block")
+    packed = packed.groupBy("dim", "block").agg(F.collect_list(F.struct("id", "v")).alias("queries"))  # about BLOCK_ROWS
+    sent = packed.withColumn("copy", F.col("block") % copies).withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
+    held = indexed.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
+    at, tasks = ["dim", "shard", "copy"], 2 * shards * copies
+    meets = held.repartition(tasks, *at).hint("merge").join(sent.repartition(tasks, *at), at)
 
     def run(batches):
         for batch in batches:
@@ -206,7 +216,7 @@ def search(indexed: DataFrame, queries: DataFrame, k: int, beam: int = SEARCH_BE
                 cols = list(zip(*out)) if out else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], ["query_id", "vec_id", "score"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    common.small_batches(queries.sparkSession)
     found = meets.select("dim", "vectors", "ids", "edges", "entry", "queries").mapInArrow(run, "query_id long, vec_id long, score double")
     order = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", order).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

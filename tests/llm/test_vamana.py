@@ -26,6 +26,23 @@ def test_recall_on_the_table(spark):
     assert hits >= 0.95 * 5 * len(want)
 
 
+def test_recall_on_a_larger_table(spark):
+    """Clusters of different density in 24 dimensions, several shards of the usual size."""
+    rng = np.random.default_rng(8)
+    n = 20_000
+    middle = rng.normal(size=(60, 24)) * 2
+    v = (middle[rng.integers(0, 60, n)] + rng.normal(size=(n, 24)) * rng.choice([0.1, 0.5, 1.0], (n, 1))).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in vamana.nearest(df).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    unit = vamana._unit(v.astype(np.float64))
+    near = unit[::50] @ unit.T
+    near[np.arange(len(near)), np.arange(0, n, 50)] = -2
+    want = np.argsort(-near, axis=1)[:, :5]
+    assert sum(len(got[50 * i] & set(w.tolist())) for i, w in enumerate(want)) >= 0.95 * want.size
+
+
 @pytest.mark.parametrize("shard_rows", [4000, 20])
 def test_edges_of_the_input(spark, shard_rows):
     rng = np.random.default_rng(2)
