@@ -18,7 +18,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts in no language that can be told: null, without a letter, or below even odds."""
+    """Rejects texts in no language that can be told: null, without a letter, below even odds, or in
+    letters of which the labelled texts have less than half."""
     model = language.train(docs, PIECES)
     return language.predict(docs.select(*COLUMNS), model).where("lang_pred <> 'und' AND score >= 0.5").select(*COLUMNS)
 
@@ -54,7 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's are written and read again by the next."""
+    """The last stage's rows; each stage's are written and read again by the next.
+
+    A null doc_id comes before all others; rows stated twice go on once; null and empty texts go with
+    language ID, which keeps nothing where no row has both a text and a language. An empty table gives no
+    rows. Columns other than those of `documents` aren't read.
+    """
     scratch = common.Scratch(spark, "pipeline")
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
