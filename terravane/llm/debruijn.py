@@ -3,7 +3,8 @@
 A window of k words is an edge between the nodes of its first and its last k - 1 words.
 
 1. Edges leave a text as paths: neighbours that share a minimizer stay in one row (superkmers.py).
-   Equal edges share it, so paths whose minimizer occurs once hold no repeated edge and go.
+   Equal edges share it, so paths whose minimizer occurs once hold no repeated edge and go. Cycles,
+   where a text goes through a path again, are taken out on the spot.
 2. Where all paths through a minimizer are one, none of their nodes branches: the path is
    compact as it stands and is joined as a whole to its first occurrence, and so is every path of a
    branching minimizer that occurs again.
@@ -25,7 +26,7 @@ def repeated_paths(docs: DataFrame, scratch: common.Scratch, window: int, gram:
     """Verified spans (_rid, first, count, lead_rid, lead_first) of edges that also start earlier."""
 
     def find(docs: DataFrame, seed: int) -> DataFrame:
-        paths = repeats.shared_runs(docs, scratch, True, window, gram, seed)
+        paths, cycles = repeats.shared_runs(docs, scratch, True, window, gram, seed)
         different, later = repeats.joined_to_first(paths, ["anchor", "context"], scratch, f"paths-{seed}")
         later = scratch.keep(later, f"later_paths-{seed}")
         scratch.drop(f"shared_runs-{seed}")
@@ -33,6 +34,6 @@ def repeated_paths(docs: DataFrame, scratch: common.Scratch, window: int, gram:
         at_branches = different.join(branching, "anchor").select("lead._rid", F.col("lead.first").alias("first"), "count")
         edges = scratch.keep(repeats.window_hashes(repeats.asked(docs, at_branches), True, window, seed), f"edges-{seed}")
         _, again = repeats.joined_to_first(edges, ["h1", "h2"], scratch, f"edges-{seed}")
-        return later.unionByName(again)
+        return later.unionByName(again).unionByName(cycles)
 
     return repeats.repeated_spans(docs, scratch, True, window, find)

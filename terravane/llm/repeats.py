@@ -35,9 +35,30 @@ def sequence(data: np.ndarray, offsets: np.ndarray, words: bool) -> tuple[np.nda
     return symbols, off
 
 
-def shared_runs(docs: DataFrame, scratch: common.Scratch, words: bool, window: int, gram: int, seed: int) -> DataFrame:
-    """(anchor, context, _rid, first, count) of the runs whose anchor occurs more than once."""
-    names = ["anchor", "context", "_rid", "first", "count"]
+def within_texts(got: superkmers.Runs) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """Which runs are the first of their kind in their text; and the others, put together to stretches
+    (text, first, count, back) that repeat what lies `back` places before, as lines stated many
+    times do."""
+    n = len(got.text)
+    place = np.arange(n)
+    order = np.lexsort((place, got.context, got.anchor, got.text))
+    again = np.zeros(n, bool)
+    again[1:] = np.all([v[order][1:] == v[order][:-1] for v in (got.text, got.anchor, got.context)], axis=0) if n else False
+    later, earlier = order[again], order[np.flatnonzero(again) - 1]
+    back = np.zeros(n, np.int64)
+    back[later] = got.first[later] - got.first[earlier]
+    at = np.flatnonzero(back)
+    on = (at[1:] == at[:-1] + 1) & (got.text[at[1:]] == got.text[at[:-1]]) & (back[at[1:]] == back[at[:-1]])
+    head = np.flatnonzero(np.append(True, ~on)) if len(at) else at
+    ends = np.append(0, np.cumsum(got.count[at]))
+    total = ends[np.append(head[1:], len(at))] - ends[head] if len(at) else at
+    return back == 0, (got.text[at[head]], got.first[at[head]], total, back[at[head]])
+
+
+def shared_runs(docs: DataFrame, scratch: common.Scratch, words: bool, window: int, gram: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """(anchor, context, _rid, first, count) of the runs whose anchor occurs more than once, each kind
+    once for each text; and the occurrences of those that stand earlier in their own text."""
+    names = ["anchor", "context", "_rid", "first", "count", "back"]
 
     def run(batches):
         for batch in batches:
@@ -46,15 +67,23 @@ def shared_runs(docs: DataFrame, scratch: common.Scratch, words: bool, window: i
             for a, b in common.chunks(offsets):
                 part = offsets[a : b + 1]
                 got = superkmers.runs(*sequence(data[part[0] : part[-1]], part - part[0], words), window, gram, seed)
-                cols = got.anchor, got.context, rid[a:b][got.text], got.first.astype(np.int32), got.count.astype(np.int32)
+                fresh, (text, first, count, back) = within_texts(got)
+                none = np.zeros(len(text), np.int64)
+                columns = zip((got.anchor, got.context, got.text, got.first, got.count, np.zeros(len(fresh), np.int64)), (none, none, text, first, count, back))
+                anchor, context, of, first, count, back = (np.concatenate([x[fresh], y]) for x, y in columns)
+                cols = anchor, context, rid[a:b][of], first.astype(np.int32), count.astype(np.int32), back.astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
 
-    every = scratch.keep(docs.select("_rid", "text").mapInArrow(run, "anchor long, context long, _rid long, first int, count int"), f"runs-{seed}")
+    schema = "anchor long, context long, _rid long, first int, count int, back int"
+    every = scratch.keep(docs.select("_rid", "text").mapInArrow(run, schema), f"runs-{seed}")
+    own = every.where("back > 0").select("_rid", "first", "count", F.col("_rid").alias("lead_rid"), (F.col("first") - F.col("back")).alias("lead_first"))
+    own = scratch.keep(own, f"own-{seed}")
+    every = every.where("back = 0").drop("back")
     # written before it is joined: only between two plain exchanges can a hot key's rows be split
     shared = scratch.keep(every.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"), f"shared-{seed}")
     runs = scratch.keep(every.join(shared, "anchor"), f"shared_runs-{seed}")
     scratch.drop(f"runs-{seed}", f"shared-{seed}")
-    return runs
+    return runs, own
 
 
 def joined_to_first(rows: DataFrame, key: list[str], scratch: common.Scratch, name: str) -> tuple[DataFrame, DataFrame]:

@@ -95,7 +95,7 @@ def repeated_strings(docs: DataFrame, scratch: common.Scratch, window: int, gram
     start earlier."""
 
     def find(docs: DataFrame, seed: int) -> DataFrame:
-        runs = repeats.shared_runs(docs, scratch, False, window, gram, seed)
+        runs, own = repeats.shared_runs(docs, scratch, False, window, gram, seed)
         different, later = repeats.joined_to_first(runs, ["anchor", "context"], scratch, f"strings-{seed}")
         later = scratch.keep(later, f"later-{seed}")
         scratch.drop(f"shared_runs-{seed}")
@@ -103,7 +103,7 @@ def repeated_strings(docs: DataFrame, scratch: common.Scratch, window: int, gram
         wanted = different.join(several, "anchor").select("anchor", "strings", "lead._rid", F.col("lead.first").alias("first"), "count")
         few = wanted.where(F.col("strings") <= group).select("_rid", "anchor", "first", "count")
         bodies = scratch.keep(_bodies(repeats.asked(docs, few), window), f"bodies-{seed}")
-        out = later.unionByName(_suffix_blocks(bodies, window))
+        out = later.unionByName(own).unionByName(_suffix_blocks(bodies, window))
         if not several.where(F.col("strings") > group).isEmpty():
             many = wanted.where(F.col("strings") > group).select("_rid", "first", "count")
             windows = scratch.keep(repeats.window_hashes(repeats.asked(docs, many), False, window, seed), f"windows-{seed}")
