@@ -7,16 +7,16 @@ import json
 import os
 import shutil
 import sys
-import tempfile
+import uuid
 
-from . import __version__
+from . import __commit__, __date__, __version__
 from .errors import TerravaneError
 from .metadata import footer_value
 from .operators import convert as converting
 from .operators import describe as describing
 from .operators import extract as extracting
 from .operators import validate as validating
-from .sources import footers, geojson, geoparquet
+from .sources import footers, geojson, geoparquet, storage
 
 
 def session():
@@ -62,11 +62,21 @@ def _parser() -> argparse.ArgumentParser:
     return p
 
 
+def _shared(name: str) -> str:
+    """A new path that executors see as well."""
+    session()
+    path = f"{storage.shared_folder()}/{uuid.uuid4().hex}/{name}"
+    where, at = storage.store(path)
+    where.create_dir(os.path.dirname(at), recursive=True)
+    return path
+
+
 def _spooled(extension: str) -> str:
     """Standard input as a file."""
-    path = os.path.join(tempfile.mkdtemp(prefix="terravane-"), f"stdin{extension}")
-    with open(path, "wb") as out:
-        shutil.copyfileobj(sys.stdin.buffer, out)
+    path = _shared(f"stdin{extension}")
+    where, at = storage.store(path)
+    with where.open_output_stream(at) as out:
+        shutil.copyfileobj(sys.stdin.buffer, out, 1 << 20)
     return path
 
 
@@ -76,8 +86,9 @@ def _input(paths: list[str], extension: str) -> str:
 
 def _delivered(target: str | None, made: str) -> None:
     if target is None:
-        with open(made, "rb") as f:
-            shutil.copyfileobj(f, sys.stdout.buffer)
+        where, at = storage.store(made)
+        with where.open_input_stream(at) as f:
+            shutil.copyfileobj(f, sys.stdout.buffer, 1 << 20)
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -90,7 +101,7 @@ def main(argv: list[str] | None = None) -> int:
 
 
 def _version(args) -> int:
-    print(json.dumps({"version": __version__}) if args.detail else __version__)
+    print(json.dumps({"version": __version__, "commit": __commit__, "date": __date__}) if args.detail else __version__)
     return 0
 
 
@@ -102,7 +113,7 @@ def _convert(args) -> int:
     target = (args.paths if piped else args.paths[1:])[:1]
     if not target and args.target_format == "auto":
         raise TerravaneError("when writing to standard output, the --to option must be provided")
-    made = target[0] if target else os.path.join(tempfile.mkdtemp(prefix="terravane-"), "out")
+    made = target[0] if target else _shared("out")
     converting.convert(session(), source, made, args.source_format, args.target_format, args.min, args.max, args.input_primary_column, args.compression, args.row_group_length, args.stats, single_file=not args.folder)
     _delivered(target[0] if target else None, made)
     return 0
@@ -117,7 +128,7 @@ def _extract(args) -> int:
     names = lambda x: [n.strip() for n in x.split(",")] if x else None
     df = geoparquet.read(session(), source)
     out = extracting.extract(df, args.bbox, names(args.keep_only_cols), names(args.drop_cols))
-    made = target[0] if target else os.path.join(tempfile.mkdtemp(prefix="terravane-"), "out.parquet")
+    made = target[0] if target else _shared("out.parquet")
     geoparquet.write(out, made, compression=args.compression, single_file=not args.folder)
     _delivered(target[0] if target else None, made)
     return 0

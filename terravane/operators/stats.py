@@ -25,7 +25,9 @@ def geometry_stats(df: DataFrame, names: list[str], by: list[str] | None = None)
     """
     by = by or []
     text = {n for n, t in df.dtypes if t == "string"}
-    staged = df.select(*by, *[x for n in names for x in (columns.envelope(F.col(n)).alias(f"_box_{n}"), (columns.wkt_to_wkb(F.col(n)) if n in text else F.col(n)).alias(f"_wkb_{n}"))])
+    # text is parsed once: a projection of its own, which Spark doesn't fold into the next
+    parsed = df.select(*by, *[(columns.wkt_to_wkb(F.col(n)) if n in text else F.col(n)).alias(f"_wkb_{n}") for n in names])
+    staged = parsed.select("*", *[columns.envelope(F.col(f"_wkb_{n}")).alias(f"_box_{n}") for n in names])
     sums = [c.alias(f"_{k}_{n}") for n in names for k, c in zip(("x0", "y0", "x1", "y1", "types"), [*bounds(F.col(f"_box_{n}")), types(F.col(f"_wkb_{n}"))])]
     one = staged.groupBy(*by).agg(*sums) if by else staged.agg(*sums)
     row = lambda n: F.struct(F.lit(n).alias("column"), *[F.col(f"_{k}_{n}").alias(a) for k, a in zip(("x0", "y0", "x1", "y1", "types"), ("xmin", "ymin", "xmax", "ymax", "types"))])

@@ -582,3 +582,31 @@ def test_transform(spark, tmp_path):
     transforming.transform(spark, source, out, metadata=lambda _: None)
     with pytest.raises(NoMetadataError):
         geoparquet.file_metadata(out)
+
+
+def test_pipes(spark, places, monkeypatch):
+    """Standard input to standard output."""
+    import io
+    from types import SimpleNamespace
+
+    def piped(args, data):
+        out = SimpleNamespace(buffer=io.BytesIO())
+        monkeypatch.setattr(sys, "stdin", SimpleNamespace(buffer=io.BytesIO(data), isatty=lambda: False))
+        monkeypatch.setattr(sys, "stdout", out)
+        try:
+            assert cli.main(args) == 0
+        finally:
+            monkeypatch.undo()
+        return out.buffer.getvalue()
+
+    with open(places, "rb") as f:
+        table = piped(["convert", "--from", "geojson", "--to", "geoparquet"], f.read())
+    assert pq.read_table(io.BytesIO(table)).num_rows == 5
+    cut = piped(["extract", "--bbox", "34,-7,36,-6"], table)
+    assert pq.read_table(io.BytesIO(cut))["name"].to_pylist() == ["Savanna"]
+    back = piped(["convert", "--from", "geoparquet", "--to", "geojson"], cut)
+    assert [f["properties"]["name"] for f in json.loads(back)["features"]] == ["Savanna"]
+
+
+def test_version_detail(capsys):
+    assert cli.main(["version", "--detail"]) == 0 and json.loads(capsys.readouterr().out).keys() == {"version", "commit", "date"}
