@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import queries as q
+from .errors import TerravaneError
 from .functions.bbox import Bbox
-from .metadata import KEY, GeoMetadata
+from .metadata import KEY, GeoMetadata, crs_name
 from .operators import describe as describing
 from .operators import extract as extracting
 from .operators import transform as transforming
 from .operators import validate as validating
 from .operators.convert import convert
 from .plans import boxes
-from .sources import geojson, geoparquet, schema, storage
+from .sources import footers, geojson, geoparquet, schema, storage
 
 #: Rows in a row group of the files written here.
 GROUP = 100
@@ -415,6 +416,77 @@ def validate_summary(spark, sf_dir):
     return spark.createDataFrame([(passed, failed, unrun, report.valid)], "passed long, failed long, unrun long, valid boolean")
 
 
+def report_text(spark, sf_dir):
+    """The report for people, line by line."""
+    report = validating.validate(spark, _with_metadata(spark, sf_dir, "cut", lambda c: None, _cut))
+    lines = [x.split(": ")[0] for x in report.to_text().split("\n") if x.strip()]
+    return spark.createDataFrame(list(enumerate(lines)), "place int, line string")
+
+
+JSON_VALUES = ["null", "true", "1", "1.0", "2.5", '"a<b&c"', "[1,[2,null]]", '{"b":1,"a":{"d":[],"c":false}}']
+
+
+def json_texts(spark, sf_dir):
+    """Values as they stand in messages, and the names of their types."""
+    return spark.createDataFrame([(v, validating.as_json(json.loads(v)), validating.json_type(json.loads(v))) for v in JSON_VALUES], "value string, text string, type string")
+
+
+CRS = ['{"name":"WGS 84"}', '{"id":{"authority":"OGC","code":"CRS84"}}', '{"id":{"authority":"EPSG","code":4326}}', '{"name":"","id":{"authority":"A","code":"B"}}', "{}", "null"]
+
+
+def crs_names(spark, sf_dir):
+    return spark.createDataFrame([(c, crs_name(json.loads(c))) for c in CRS], "crs string, name string")
+
+
+def column_errors(spark, sf_dir):
+    """What a choice of columns that can't be had says."""
+    df = geoparquet.read(spark, _places(spark, sf_dir))
+    asked = {
+        "both": lambda: extracting.extract(df, keep=["geometry"], drop=["bbox"]),
+        "kept": lambda: extracting.extract(df, keep=["c_name"]),
+        "dropped": lambda: extracting.extract(df, drop=["geometry"]),
+        "read": lambda: geoparquet.read(spark, _places(spark, sf_dir), columns=["c_name"]),
+        "box": lambda: extracting.extract(df, "1,2,3"),
+        "number": lambda: extracting.extract(df, "1,2,x,4"),
+    }
+    out = []
+    for name, ask in asked.items():
+        try:
+            ask()
+        except TerravaneError as e:
+            out.append((name, str(e)))
+    return spark.createDataFrame(out, "what string, message string")
+
+
+def metadata_edits(spark, sf_dir):
+    """Defaults, clones, narrowed documents and the older name of the types."""
+    plain = GeoMetadata.default("shape")
+    changed = plain.clone()
+    changed.column("other")["geometry_type"] = "Point"
+    rows = [("default", plain.to_json()), ("clone", changed.to_json()), ("only", changed.only(["other"]).to_json()), ("types", json.dumps(changed.geometry_types("other")))]
+    return spark.createDataFrame(rows, "what string, document string")
+
+
+def file_footer(spark, sf_dir):
+    """The pairs of a footer, as they stand."""
+    found = [(k, GeoMetadata.parse(v).primary_column if k == KEY else "") for k, v in footers.pairs(_places(spark, sf_dir)) if not k.startswith("ARROW")]
+    return spark.createDataFrame(found, "key string, primary_column string")
+
+
+PATHS = ["/a/b", "a b.parquet", "s3://b/k", "s3a://b/k", "gs://b/k", "hdfs://h/k", "azblob://c/a/k?storage_account=x", "ftp://h/k"]
+
+
+def schemes(spark, sf_dir):
+    """What Spark reads a path by."""
+    out = []
+    for p in PATHS:
+        try:
+            out.append((p, storage.readable(p)))
+        except TerravaneError as e:
+            out.append((p, str(e)))
+    return spark.createDataFrame(out, "path string, read_by string")
+
+
 def _text(x: str) -> str:
     return "'" + x.replace("'", "''") + "'"
 
@@ -439,6 +511,7 @@ _PLAIN = [
     file_scan, file_columns, file_row_groups, file_row_groups_of_folders, file_row_group_stats, file_row_group_boxes, file_row_groups_meeting, file_extract, file_extract_written, file_describe, file_counts,
     file_codecs, convert_keeps_codecs, convert_text_rows, convert_text_metadata, convert_bytes_metadata, geojson_lines, geojson_collection, geojson_schema, geojson_ids, geojson_pending, convert_geojson_rows,
     convert_geojson_metadata, convert_to_geojson, wkt_output, transform_columns, schema_message, schema_lookup, formats, box_texts, validate_file, validate_folder, validate_documents, validate_summary,
+    report_text, json_texts, crs_names, column_errors, metadata_edits, file_footer, schemes,
 ]
 _MESSAGE = ["message {", "  optional int64 c_custkey;", "  optional binary c_name (STRING);", "  required group bbox {", *(f"    optional double {f};" for f in boxes.FIELDS), "  }", "  optional binary geometry;", "}", ""]
 _SQL = {
@@ -475,6 +548,20 @@ _SQL = {
     "validate_file": _values([(i, t, True, True, "") for i, t in enumerate(validating.TITLES, 1)], "ord, title, run, passed, message"),
     "validate_folder": "SELECT true AS run, true AS passed, 20::BIGINT AS n",
     "validate_documents": _values([(n, rule, message, over) for n, _, rule, message, over in _broken()], "document, rule, message, ended"),
+    "report_text": _values(list(enumerate(["Summary", *(f" ✓ {t}" for t in validating.TITLES[:16]), f" ✗ {validating.TITLES[16]}", '   ↳ invalid geometry in column "geometry"', *(x for t in validating.TITLES[17:] for x in (f" ! {t}", "   ↳ not checked"))])), "place, line"),
+    "json_texts": _values(list(zip(JSON_VALUES, ["null", "true", "1", "1", "2.5", '"a\\u003cb\\u0026c"', "[1,[2,null]]", '{"a":{"c":false,"d":[]},"b":1}'], ["<nil>", "boolean", "number", "number", "number", "string", "list", "object"])), "value, text, type"),
+    "crs_names": _values(list(zip(CRS, ["WGS 84", "OGC:CRS84", "EPSG:4326", "A:B", "Unknown", "Unknown"])), "crs, name"),
+    "column_errors": _values([
+        ("both", "please pass either columns to keep or columns to drop, not both"), *((n, 'columns must include the primary geometry column "geometry"') for n in ("kept", "dropped", "read")),
+        ("box", "please provide 4 comma-separated values (xmin,ymin,xmax,ymax) as a bbox"), ("number", "trouble parsing xmax input as float64: 'x'"),
+    ], "what, message"),
+    "metadata_edits": _values([
+        ("default", '{"version":"1.0.0","primary_column":"shape","columns":{"shape":{"encoding":"WKB","geometry_types":[]}}}'),
+        ("clone", '{"version":"1.0.0","primary_column":"shape","columns":{"shape":{"encoding":"WKB","geometry_types":[]},"other":{"encoding":"WKB","geometry_types":[],"geometry_type":"Point"}}}'),
+        ("only", '{"version":"1.0.0","primary_column":"shape","columns":{"other":{"encoding":"WKB","geometry_types":[],"geometry_type":"Point"}}}'), ("types", "[]"),
+    ], "what, document"),
+    "file_footer": "SELECT 'geo' AS key, 'geometry' AS primary_column",
+    "schemes": _values(list(zip(PATHS, ["/a/b", "a b.parquet", "s3a://b/k", "s3a://b/k", "gs://b/k", "hdfs://h/k", "abfss://c@x.dfs.core.windows.net/a/k", "unsupported scheme 'ftp' in 'ftp://h/k'"])), "path, read_by"),
     "validate_summary": "SELECT 16::BIGINT AS passed, 1::BIGINT AS failed, 3::BIGINT AS unrun, false AS valid",
 }
 _PAIRS = {
