@@ -97,8 +97,8 @@ def joined_to_first(rows: DataFrame, key: list[str], scratch: common.Scratch, na
 
 
 def asked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(_rid, text, _wanted): texts with all rows of `wanted` (_rid, ...) for them; those are no more
-    than a text has places for."""
+    """(_rid, text, _wanted): texts with all rows of `wanted` (_rid, ...) for them. Those differ, so a
+    text that many others share passages with has one for each different passage, not for each text."""
     lists = wanted.groupBy("_rid").agg(F.collect_list(F.struct(*[c for c in wanted.columns if c != "_rid"])).alias("_wanted"))
     return docs.select("_rid", "text").join(lists, "_rid")
 
