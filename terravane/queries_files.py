@@ -384,6 +384,7 @@ def _broken() -> list[tuple[str, object, int, str, bool]]:
         ("types text", column(geometry_types="Point"), 8, 'expected "geometry_types" for column "geometry" to be a list, got "Point"', False),
         ("type Circle", column(geometry_types=["Circle"]), 8, 'unsupported geometry type "Circle" for column "geometry"', False),
         ("crs text", column(crs="x"), 9, 'expected "crs" for column "geometry" to be an object, got a string: "x"', True),
+        ("bogus crs", column(crs={"type": "BogusCRS"}), 9, "validation failed against https://proj.org/schemas/v0.6/projjson.schema.json: input is invalid: missing properties: 'source_crs', 'target_crs', 'transformation'", False),
         ("orientation 1", column(orientation=1), 10, 'expected "orientation" for column "geometry" to be a string, got a number: 1', True),
         ("clockwise", column(orientation="clockwise"), 10, 'unsupported orientation "clockwise" for column "geometry", expected "counterclockwise"', False),
         ("edges", column(edges="round"), 11, 'unsupported edges "round" for column "geometry", expected "planar" or "spherical"', False),

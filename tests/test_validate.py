@@ -15,7 +15,8 @@ HOLE = [[2.0, 2.0], [2.0, 4.0], [4.0, 4.0], [4.0, 2.0], [2.0, 2.0]]
 poly = lambda *rings: {"type": "Polygon", "coordinates": list(rings)}
 point = lambda x, y: {"type": "Point", "coordinates": [x, y]}
 BASE = {"version": "1.0.0", "primary_column": "geometry", "columns": {"geometry": {"encoding": "WKB", "geometry_types": []}}}
-ALL = {"encoding": "WKB", "geometry_types": ["Point", "Polygon"], "crs": {"$schema": "https://proj.org/schemas/v0.6/projjson.schema.json", "type": "GeographicCRS", "name": "WGS 84 longitude-latitude", "id": {"authority": "OGC", "code": "CRS84"}}, "orientation": "counterclockwise", "edges": "planar", "bbox": [0, 0, 10, 10], "epoch": 2021.5}
+DATUM = {"type": "GeodeticReferenceFrame", "name": "World Geodetic System 1984", "ellipsoid": {"name": "WGS 84", "semi_major_axis": 6378137, "inverse_flattening": 298.257223563}}
+ALL = {"encoding": "WKB", "geometry_types": ["Point", "Polygon"], "crs": {"$schema": "https://proj.org/schemas/v0.6/projjson.schema.json", "type": "GeographicCRS", "name": "WGS 84 longitude-latitude", "datum": DATUM, "id": {"authority": "OGC", "code": "CRS84"}}, "orientation": "counterclockwise", "edges": "planar", "bbox": [0, 0, 10, 10], "epoch": 2021.5}
 ROWS = [point(5, 5), poly(RING, HOLE), None]
 
 
@@ -93,7 +94,31 @@ def test_report(spark, tmp_path, name):
 def test_crs_shape(spark, tmp_path):
     path = file(tmp_path / "x.parquet", meta(crs={"type": "Sphere", "name": "x"}), ROWS)
     failed = [c for c in validate(spark, path).checks if not c.passed]
-    assert len(failed) == 1 and failed[0].message.startswith("validation failed against https://proj.org/schemas/v0.6/projjson.schema.json: /type is invalid")
+    assert len(failed) == 1 and failed[0].message.startswith("validation failed against https://proj.org/schemas/v0.6/projjson.schema.json: input is invalid: missing properties: 'source_crs', 'target_crs', 'transformation'")
+
+
+def test_crs_kinds():
+    from terravane.operators.projjson import problem
+
+    axes = lambda *a: {"subtype": "ellipsoidal", "axis": [{"name": n, "abbreviation": n[:3], "direction": d, "unit": u} for n, d, u in a]}
+    degrees = axes(("Geodetic latitude", "north", "degree"), ("Geodetic longitude", "east", "degree"))
+    ensemble = {"name": "WGS 84 ensemble", "members": [{"name": "Transit", "id": {"authority": "EPSG", "code": 1166}}], "ellipsoid": DATUM["ellipsoid"], "accuracy": "2.0", "id": {"authority": "EPSG", "code": 6326}}
+    world = {"type": "GeographicCRS", "name": "WGS 84", "datum_ensemble": ensemble, "coordinate_system": degrees, "scope": "all", "area": "World", "bbox": {"south_latitude": -90, "west_longitude": -180, "north_latitude": 90, "east_longitude": 180}, "id": {"authority": "EPSG", "code": 4326}}
+    utm = {
+        "type": "ProjectedCRS", "name": "UTM 31N", "base_crs": world, "coordinate_system": {"subtype": "Cartesian", "axis": [{"name": "Easting", "abbreviation": "E", "direction": "east", "unit": "metre"}]},
+        "conversion": {"name": "UTM zone 31N", "method": {"name": "Transverse Mercator", "id": {"authority": "EPSG", "code": 9807}}, "parameters": [{"name": "Scale factor", "value": 0.9996, "unit": "unity"}]},
+    }
+    height = {"type": "VerticalCRS", "name": "h", "datum": {"type": "VerticalReferenceFrame", "name": "d"}, "coordinate_system": {"subtype": "vertical", "axis": [{"name": "h", "abbreviation": "H", "direction": "up", "unit": {"type": "LinearUnit", "name": "foot", "conversion_factor": 0.3048}}]}}
+    shift = {"name": "s", "method": {"name": "m"}, "parameters": []}
+    good = [world, utm, height, {"type": "CompoundCRS", "name": "c", "components": [utm, height]}, {"type": "BoundCRS", "source_crs": utm, "target_crs": world, "transformation": shift}, DATUM, {"type": "EngineeringCRS", "name": "e", "datum": {"name": "d"}}]
+    assert [problem(g) for g in good] == [""] * len(good)
+    bad = {
+        "'datum', 'datum_ensemble'": {"type": "GeographicCRS", "name": "x"}, "missing properties: 'name'": {k: v for k, v in world.items() if k != "name"}, "'colour' not allowed": {**world, "colour": 1},
+        "/name is invalid": {**world, "name": 1}, "/coordinate_system is invalid": {**world, "coordinate_system": {"subtype": "flat", "axis": []}}, "missing properties: 'base_crs', 'conversion', 'coordinate_system'": {"type": "ProjectedCRS", "name": "x"},
+        "/base_crs is invalid": {**utm, "base_crs": height}, "/id is invalid": {**world, "id": {"authority": "EPSG"}}, "'source_crs', 'target_crs', 'transformation'": {"type": "BogusCRS"}, "both 'id' and 'ids'": {**world, "ids": []}, "/components is invalid": {"type": "CompoundCRS", "name": "c", "components": [{}]},
+    }
+    for message, document in bad.items():
+        assert message in problem(document), (message, problem(document))
 
 
 def test_no_key(spark, tmp_path):
