@@ -173,7 +173,7 @@ def _with_room(a: np.ndarray, n: int) -> np.ndarray:
 class Encoder:
     """Text to ids. Keeps the ids of up to `words` distinct pre-tokens, then starts anew."""
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    def __init__(self, path: str, words: int = 400_000):
         self.merges, self.limit = Merges(path), words
         self._library = None
         self._reset()

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Text bytes that one vectorised step holds at a time (a longer single text is its own step).
-CHUNK_BYTES = 1_500_000
+CHUNK_BYTES = 600_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,10 +66,10 @@ _ROWS, _BYTES = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execu
 
 def small(rows: int) -> dict[str, str]:
     """Settings that bound what an Arrow batch of whole texts takes of an executor's memory."""
-    return {_ROWS: str(rows), _BYTES: str(16 << 20)}
+    return {_ROWS: str(rows), _BYTES: str(4 << 20)}
 
 
-def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Those settings for the session, for what a caller runs later: a stricter one stays."""
     if not 0 < int(spark.conf.get(_ROWS)) <= rows:
         spark.conf.set(_ROWS, str(rows))

@@ -26,7 +26,7 @@ TRAIN_ROWS, ROUNDS = 20_000, 4
 #: What a piece counts beside what was seen, of as many pieces as SCALE in each language.
 PRIOR, SCALE = 0.05, 1_000_000
 #: Words and letters that a vectorised step holds.
-STEP_WORDS, STEP_LETTERS = 20_000, 400_000
+STEP_WORDS, STEP_LETTERS = 10_000, 120_000
 MARK = "▁"
 _C = np.uint64(0xD6E8FEB86659FD93)
 
@@ -193,7 +193,7 @@ class Model:
 class Scorer:
     """Log likelihoods of distinct words, kept until there are `words` of them."""
 
-    def __init__(self, model: Model, words: int = 400_000):
+    def __init__(self, model: Model, words: int = 200_000):
         self.model, self.limit = model, words
         self.lattice = Lattice(model.pieces)
         self._reset()

@@ -75,13 +75,13 @@ def signatures(hashes: np.ndarray, weights: np.ndarray, offsets: np.ndarray, k:
         high[todo] = np.ceil(darts / norm[todo] * (1 << _FRACTION)).astype(np.int64)
         begin, end = offsets[todo], offsets[todo + 1]
         element = gather(np.arange(len(hashes)), begin, end - begin)
-        # a step takes elements whose cells number about a million
+        # a step takes elements whose cells number about 150,000
         rank_cells = (high[owner[element]] - 1 >> _FRACTION) + 1
         cells = np.ceil(weights[element]).astype(np.int64) * rank_cells
         cuts = np.append(0, np.cumsum(cells))
         at = 0
         while at < len(element):
-            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 400_000, "right")) - 1)
+            to = max(at + 1, int(np.searchsorted(cuts, cuts[at] + 150_000, "right")) - 1)
             _throw(hashes, weights, owner, element[at:to], cells[at:to], rank_cells[at:to], low, high, k, out)
             at = to
         open_ = (out.reshape(sets, k)[todo] == _NONE).any(axis=1)
