@@ -2,7 +2,8 @@
 
 Strings that share a minimizer meet in a block; there bwt.py sorts their suffixes and expands
 intervals to the threshold. Strings that occur again as wholes are joined to their first occurrence
-and stand in a block once (repeats.py).
+and stand in a block once (repeats.py). Before its suffixes are sorted, a string is cut to what it can
+share with another one of its minimizer, and what is then the same as another is left out likewise.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import bwt, common, repeats
+from . import bwt, common, repeats, superkmers, textvec
 from .bpe import gather
 
 WINDOW, GRAM = 100, 36
@@ -40,13 +41,75 @@ def _bodies(found: DataFrame, window: int) -> DataFrame:
     return found.mapInArrow(run, "anchor long, _rid long, first int, body binary")
 
 
-def _suffix_blocks(strings: DataFrame, window: int) -> DataFrame:
+def _longest_shared(words: np.ndarray, limit: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """How many bytes each row shares, from the first on, with another row of its group at most.
+
+    words: a row's bytes from the first on, eight in a word, the first one highest; limit: how many
+    bytes it has. Rows that share most are neighbours in order, as of equal words the shorter row
+    comes first: so no row that only its end makes equal stands between two that share more.
+    """
+    valid = np.clip(limit - 8 * np.arange(len(words))[:, None], 0, 8)
+    words = words & ~textvec._MASK[8 - valid]
+    order = np.lexsort((limit, *words[::-1], group))
+    out = np.zeros(len(limit), np.int64)
+    same, shared = group[order[1:]] == group[order[:-1]], np.zeros(max(len(limit) - 1, 0), np.int64)
+    live = same.copy()
+    for row in words:
+        differ = row[order[1:]] ^ row[order[:-1]]
+        for bits in range(56, -8, -8):
+            live &= differ >> np.uint64(bits) == 0
+            shared += live
+    shared = np.minimum(shared, np.minimum(limit[order[1:]], limit[order[:-1]])) * same
+    out[order[1:]] = shared
+    out[order[:-1]] = np.maximum(out[order[:-1]], shared)
+    return out
+
+
+def trimmed(anchor: np.ndarray, data: np.ndarray, off: np.ndarray, window: int, gram: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end, in `data`, of the part of each string that holds all windows it may share with
+    another string of its anchor; shorter than a window if there are none.
+
+    Equal windows have their anchor at one distance. So what two strings share around it bounds the
+    windows that they share.
+    """
+    at = superkmers.anchors_at(anchor, data, off, window, gram, seed)
+    left, right = at - off[:-1], off[1:] - at - gram
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    view = textvec.blocks(padded)
+    far = int(max(left.max(initial=0), right.max(initial=0)))
+    steps = np.arange(0, far, 8)[:, None]
+    before = view[np.maximum(at - steps, 0)]  # of the eight bytes before a place the nearest is highest
+    behind = view[np.minimum(at + gram + steps + 8, len(view) - 1)].byteswap()
+    return at - _longest_shared(before, left, anchor), at + gram + _longest_shared(behind, right, anchor)
+
+
+def _suffix_blocks(strings: DataFrame, window: int, gram: int, seed: int) -> DataFrame:
     """Occurrences (_rid, first, count, lead_rid, lead_first) of windows within a minimizer's strings."""
 
     def solve(parts: list[pa.RecordBatch]):
         table = pa.Table.from_batches(parts).combine_chunks()
-        rid, first = (np.asarray(table.column(k).combine_chunks()) for k in (1, 2))
+        anchor, rid, first = (np.asarray(table.column(k).combine_chunks()) for k in (0, 1, 2))
         data, off = common.text_view(table.column(3))
+        begin, end = trimmed(anchor, data, off, window, gram, seed)
+        left = np.flatnonzero(end - begin >= window)
+        anchor, rid, first, begin, size = anchor[left], rid[left], first[left] + begin[left] - off[left], begin[left], (end - begin)[left]
+        # what is left of two strings may be the same: the earliest stands for all
+        content = textvec.hash_spans(data, begin, begin + size, seed)
+        order = np.lexsort((first, rid, content, anchor))
+        head = np.append(True, (content[order][1:] != content[order][:-1]) | (anchor[order][1:] != anchor[order][:-1]))[: len(order)]
+        lead = order[np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))]
+        again, of = order[~head], lead[~head]
+        if len(again):
+            cols = rid[again], first[again].astype(np.int32), (size[again] - window + 1).astype(np.int32), rid[of], first[of].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["_rid", "first", "count", "lead_rid", "lead_first"])
+        different = np.sort(order[head])
+        # one string that is left of its anchor shares nothing more
+        _, own, strings = np.unique(anchor[different], return_inverse=True, return_counts=True)
+        different = different[strings[own] > 1]
+        if not len(different):
+            return
+        rid, first, size = rid[different], first[different], size[different]
+        data, off = gather(data, begin[different], size), np.append(0, np.cumsum(size))
         starts, class_ = bwt.repeat_classes(data, off, window)
         string = np.searchsorted(off, starts, "right") - 1
         at = first[string] + starts - off[string]
@@ -103,7 +166,7 @@ def repeated_strings(docs: DataFrame, scratch: common.Scratch, window: int, gram
         wanted = different.join(several, "anchor").select("anchor", "strings", "lead._rid", F.col("lead.first").alias("first"), "count")
         few = wanted.where(F.col("strings") <= group).select("_rid", "anchor", "first", "count")
         bodies = scratch.keep(_bodies(repeats.asked(docs, few), window), f"bodies-{seed}")
-        out = later.unionByName(own).unionByName(_suffix_blocks(bodies, window))
+        out = later.unionByName(own).unionByName(_suffix_blocks(bodies, window, gram, seed))
         if not several.where(F.col("strings") > group).isEmpty():
             many = wanted.where(F.col("strings") > group).select("_rid", "first", "count")
             windows = scratch.keep(repeats.window_hashes(repeats.asked(docs, many), False, window, seed), f"windows-{seed}")

@@ -36,28 +36,39 @@ def runs(symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int, seed:
     if len(symbols) < window:
         return Runs(none, none, none, none, none)
     grams = textvec.hash_windows(symbols, gram, seed)
-    # the low byte is the distance to the least gram; leftmost wins, as the distance grows
-    least, width = grams & ~_DISTANCE, 1
-    while width < spread:
-        step = min(width, spread - width)
-        least = np.minimum(least[: len(least) - step], least[step:] + np.uint64(step))
-        width += step
     starts, ends = offsets[:-1], offsets[1:]
-    n = len(least)
+    n = len(grams) - spread + 1
+    away = np.empty(n, np.uint8)
+    for a in range(0, n, textvec.STRIDE):
+        # the low byte is the distance to the least gram; leftmost wins, as the distance grows
+        least, width = grams[a : a + textvec.STRIDE + spread - 1] & ~_DISTANCE, 1
+        while width < spread:
+            step = min(width, spread - width)
+            least = np.minimum(least[: len(least) - step], least[step:] + np.uint64(step))
+            width += step
+        away[a : a + len(least)] = least & _DISTANCE
     whole = np.zeros(n + 1, np.int32)
     long_ = ends - starts >= window
     np.add.at(whole, starts[long_], 1)
     np.add.at(whole, ends[long_] - window + 1, -1)
     valid = np.cumsum(whole[:-1]) > 0
-    at = np.arange(n) + (least & _DISTANCE).astype(np.int64)
     fresh = valid.copy()
-    fresh[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
+    # the same gram is one nearer to the next window
+    fresh[1:] &= (away[1:] + np.uint8(1) != away[:-1]) | ~valid[:-1]
     fresh[starts[long_]] = True
     begin = np.flatnonzero(fresh)
     # a run ends before the next begins, or with the last window of its text
     text = np.searchsorted(ends, begin, "right")
     stop = np.minimum(np.append(begin[1:], n), ends[text] - window + 1)
-    return Runs(text, begin - starts[text], stop - begin, grams[at[begin]].view(np.int64), textvec.hash_spans(symbols, begin, stop + window - 1, seed).view(np.int64))
+    return Runs(text, begin - starts[text], stop - begin, grams[begin + away[begin]].view(np.int64), textvec.hash_spans(symbols, begin, stop + window - 1, seed).view(np.int64))
+
+
+def anchors_at(anchor: np.ndarray, symbols: np.ndarray, offsets: np.ndarray, window: int, gram: int, seed: int = 0) -> np.ndarray:
+    """Where in `symbols` the anchor of each run stands, of sequences that are what a run covers: it is
+    the leftmost one of the first window."""
+    grams = textvec.hash_windows(symbols, gram, seed)
+    places = offsets[:-1, None] + np.arange(window - gram + 1)
+    return offsets[:-1] + np.argmax((grams[places] ^ anchor.view(np.uint64)[:, None]) & ~_DISTANCE == 0, axis=1)
 
 
 def word_symbols(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

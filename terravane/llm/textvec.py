@@ -31,6 +31,8 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 KIND, LOWER = _tables()
 #: Byte blocks of a span that are hashed in rounds; longer spans take a digest each.
 _LONG = 4096
+#: Windows that are hashed together: their arrays stay in a core's cache.
+STRIDE = 8192
 _C = np.uint64(0xD6E8FEB86659FD93)
 _HALF = np.uint64(32)
 _MASK = np.array([*((1 << 8 * i) - 1 for i in range(8)), 2**64 - 1], np.uint64)
@@ -90,11 +92,14 @@ def hash_windows(units: np.ndarray, size: int, seed: int = 0) -> np.ndarray:
     else:
         view, steps = blocks(units) & _MASK[size], [0]
     out = np.full(n, np.uint64((seed + 1) * 0x9E3779B97F4A7C15 % 2**64))
-    for at in steps:
-        out ^= view[at : at + n]
-        out *= _C
-        out ^= out >> _HALF
-    return mix(out)
+    for a in range(0, n, STRIDE):
+        part = out[a : a + STRIDE]
+        for at in steps:
+            part ^= view[a + at : a + at + len(part)]
+            part *= _C
+            part ^= part >> _HALF
+        part[:] = mix(part)
+    return out
 
 
 def same_spans(a: np.ndarray, a_start: np.ndarray, b: np.ndarray, b_start: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from terravane.llm import bwt, common, debruijn, repeats, substring_dedup, suffix_dedup
+from terravane.llm import bwt, common, debruijn, repeats, substring_dedup, suffix_dedup, superkmers
 
 
 def brute(rows, window, words):
@@ -134,3 +134,53 @@ def test_interval_expansion():
         assert starts.tolist() == [off[i] + j for i, s in enumerate(strings) for j in range(len(s) - length + 1)]
         pairs = {(flat[s : s + length].tobytes(), c) for s, c in zip(starts, class_)}
         assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_strings_are_cut_to_what_they_share():
+    """Around their anchor, to as many bytes as the longest that another string has as well, NULs included."""
+    rng = np.random.default_rng(3)
+    window, gram, cut, kept = 8, 3, 0, 0
+    for _ in range(150):
+        size = rng.integers(0, 60, rng.integers(1, 12))
+        off = np.append(0, np.cumsum(size))
+        flat = rng.choice([0, 0, 0, 1, 9], off[-1]).astype(np.uint8)
+        got = superkmers.runs(flat, off, window, gram)
+        if not len(got.text):
+            continue
+        bodies = sorted({(a, flat[b : b + c + window - 1].tobytes()) for a, b, c in zip(got.anchor.tolist(), off[got.text] + got.first, got.count)})
+        anchor, strings = np.array([a for a, _ in bodies]), [b for _, b in bodies]
+        own = np.append(0, np.cumsum([len(b) for b in strings]))
+        data = np.frombuffer(b"".join(strings), np.uint8)
+        at = superkmers.anchors_at(anchor, data, own, window, gram) - own[:-1]
+        begin, end = suffix_dedup.trimmed(anchor, data, own, window, gram, 0)
+
+        def shared(a, b):
+            return next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+        for i, (a, p) in enumerate(zip(strings, at)):
+            others = [(b, q) for j, (b, q) in enumerate(zip(strings, at)) if j != i and anchor[j] == anchor[i]]
+            left = max((shared(a[:p][::-1], b[:q][::-1]) for b, q in others), default=0)
+            right = max((shared(a[p + gram :], b[q + gram :]) for b, q in others), default=0)
+            assert (begin[i] - own[i], end[i] - own[i]) == (p - left, p + gram + right)
+            cut, kept = cut + (end[i] - begin[i] < len(a)), kept + (end[i] - begin[i] >= window)
+            for k in range(len(a) - window + 1):
+                if any(a[k : k + window] in b for b, _ in others):
+                    assert begin[i] - own[i] <= k and k + window <= end[i] - own[i]
+    assert cut and kept
+
+
+def test_strings_that_share_a_line_only_are_not_sorted():
+    """A common line among different neighbours: no suffix is left to sort."""
+    rng = np.random.default_rng(4)
+    line = b"a line of eighty bytes that is everywhere, among neighbours that are not, as it is"
+    texts = [bytes(rng.integers(97, 123, 70).astype(np.uint8)) + line + bytes(rng.integers(97, 123, 70).astype(np.uint8)) for _ in range(200)]
+    off = np.append(0, np.cumsum([len(t) for t in texts]))
+    flat = np.frombuffer(b"".join(texts), np.uint8)
+    got = superkmers.runs(flat, off, 100, 36)
+    anchors, times = np.unique(got.anchor, return_counts=True)
+    of_line = np.flatnonzero(np.isin(got.anchor, anchors[times > 1]))
+    assert len(of_line) >= 100
+    begin, size = (off[got.text] + got.first)[of_line], got.count[of_line] + 99
+    data, own = np.concatenate([flat[b : b + n] for b, n in zip(begin, size)]), np.append(0, np.cumsum(size))
+    a, b = suffix_dedup.trimmed(got.anchor[of_line], data, own, 100, 36, 0)
+    assert (b - a < 100).all()
