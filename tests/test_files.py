@@ -610,3 +610,59 @@ def test_pipes(spark, places, monkeypatch):
 
 def test_version_detail(capsys):
     assert cli.main(["version", "--detail"]) == 0 and json.loads(capsys.readouterr().out).keys() == {"version", "commit", "date"}
+
+
+ODD_TEXTS = ['},{"a":[', '\\', '\\"', "],", '"features":[', "\U0001f600é", ""]
+
+
+def odd_features(n):
+    return [feature(point(i, i % 90), i=float(i), text=ODD_TEXTS[i % 7] * (i % 5), parts=[{"a": float(i)}]) for i in range(n)]
+
+
+@pytest.mark.parametrize("tail", ["]}", '],"more":[[1,2],{"features":[{"a":1},{"b":2}]}]}'])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_long_collections_are_split(spark, put, monkeypatch, tail, indent):
+    from terravane.sources import splits
+
+    monkeypatch.setattr(splits, "SPLIT", 4000)
+    rows = odd_features(300)
+    text = '{"name":"a [{\\"","type":"FeatureCollection","features":[' + " ,\n".join(json.dumps(f, ensure_ascii=bool(f["properties"]["i"] % 2), indent=indent) for f in rows) + tail
+    df = geojson.read(spark, put("long.geojson", text))
+    assert df.rdd.getNumPartitions() > 5
+    got = [(r.i, r.text, r.parts[0].a) for r in df.collect()]
+    assert got == [(f["properties"]["i"], f["properties"]["text"], float(i)) for i, f in enumerate(rows)]
+
+
+@pytest.mark.parametrize("text", ["\n".join(json.dumps(f) for f in odd_features(40)), json.dumps({"a": "x" * 900, **collection(*odd_features(40))}), json.dumps(collection(feature(point(1, 2), text="y" * 5000), *odd_features(39))), json.dumps({"x": "y" * 500, **feature(point(1, 2), i=1.0)})])
+def test_long_files_of_other_forms(spark, put, monkeypatch, text):
+    from terravane.sources import splits
+
+    monkeypatch.setattr(splits, "SPLIT", 500)
+    assert geojson.read(spark, put("long.json", text), 1).count() == len(list(geojson.features_of(text)))
+
+
+@pytest.mark.parametrize("change, message", [(lambda t: t[:-2], "unexpected end of JSON input"), (lambda t: t[:-2] + "}]", "invalid JSON|unexpected end"), (lambda t: t.replace(', {"type": "Feature", "properties": {"i": 30.0', ', 7, {"type": "Feature", "properties": {"i": 30.0'), "expected a feature, got 7"), (lambda t: t.replace('"i": 30.0', '"i": x'), "invalid JSON"), (lambda t: t.replace('"i": 30.0', '"i": "x"'), 'expected "i" to be a float64')])
+def test_errors_in_long_collections(spark, put, monkeypatch, change, message):
+    from terravane.sources import splits
+
+    monkeypatch.setattr(splits, "SPLIT", 500)
+    with pytest.raises(Exception, match=message):
+        geojson.read(spark, put("bad.geojson", change(json.dumps(collection(*odd_features(40))))), 1).collect()
+
+
+@pytest.mark.parametrize("n", [0, 1, 500])
+def test_one_file_without_the_driver(spark, tmp_path, monkeypatch, n):
+    from pyspark.sql import classic
+
+    seen = []
+    collect = classic.dataframe.DataFrame.collect
+    monkeypatch.setattr(classic.dataframe.DataFrame, "collect", lambda self: (seen.append(out := collect(self)), out)[1])
+    monkeypatch.setattr(classic.dataframe.DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows went to the driver"))
+    out = tmp_path / "out.geojson"
+    out.write_text("old")
+    df = spark.range(n).selectExpr("id", "concat('n\u00e9', id) AS name", "cast(null AS binary) AS geometry").repartition(7).orderBy("id")
+    geojson.write(geoparquet.with_metadata(df, GeoMetadata.default()), str(out), single_file=True)
+    assert len(str(seen)) < 5000
+    lines = [f'{{"geometry":null,"properties":{{"id":{i},"name":"né{i}"}},"type":"Feature"}}' for i in range(n)]
+    assert out.read_text() == '{"type":"FeatureCollection","features":[' + ("\n" if n else "") + ",\n".join(lines) + "\n]}\n"
+    assert os.listdir(tmp_path) == ["out.geojson"]
