@@ -666,3 +666,14 @@ def test_one_file_without_the_driver(spark, tmp_path, monkeypatch, n):
     lines = [f'{{"geometry":null,"properties":{{"id":{i},"name":"né{i}"}},"type":"Feature"}}' for i in range(n)]
     assert out.read_text() == '{"type":"FeatureCollection","features":[' + ("\n" if n else "") + ",\n".join(lines) + "\n]}\n"
     assert os.listdir(tmp_path) == ["out.geojson"]
+
+
+@pytest.mark.parametrize("name", ["geojson_schema"])
+def test_queries_of_one_file_keep_rows_from_the_driver(spark, monkeypatch, name):
+    from pyspark.sql import classic
+
+    from terravane import queries_files
+
+    monkeypatch.setattr(queries_files, "_made", {})
+    monkeypatch.setattr(classic.dataframe.DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows went to the driver"))
+    assert queries_files.queries()[name](spark, "/root/testdata/sf0.001").count()
