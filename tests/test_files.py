@@ -668,7 +668,7 @@ def test_one_file_without_the_driver(spark, tmp_path, monkeypatch, n):
     assert os.listdir(tmp_path) == ["out.geojson"]
 
 
-@pytest.mark.parametrize("name", ["geojson_schema", "convert_to_geojson"])
+@pytest.mark.parametrize("name", ["geojson_schema", "convert_to_geojson", "convert_geojson_metadata"])
 def test_queries_of_one_file_keep_rows_from_the_driver(spark, monkeypatch, name):
     from pyspark.sql import classic
 
