@@ -652,12 +652,12 @@ def test_errors_in_long_collections(spark, put, monkeypatch, change, message):
 
 @pytest.mark.parametrize("n", [0, 1, 500])
 def test_one_file_without_the_driver(spark, tmp_path, monkeypatch, n):
-    from pyspark.sql import classic
+    from pyspark.sql.classic import dataframe
 
     seen = []
-    collect = classic.dataframe.DataFrame.collect
-    monkeypatch.setattr(classic.dataframe.DataFrame, "collect", lambda self: (seen.append(out := collect(self)), out)[1])
-    monkeypatch.setattr(classic.dataframe.DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows went to the driver"))
+    collect = dataframe.DataFrame.collect
+    monkeypatch.setattr(dataframe.DataFrame, "collect", lambda self: (seen.append(out := collect(self)), out)[1])
+    monkeypatch.setattr(dataframe.DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows went to the driver"))
     out = tmp_path / "out.geojson"
     out.write_text("old")
     df = spark.range(n).selectExpr("id", "concat('n\u00e9', id) AS name", "cast(null AS binary) AS geometry").repartition(7).orderBy("id")
@@ -670,10 +670,30 @@ def test_one_file_without_the_driver(spark, tmp_path, monkeypatch, n):
 
 @pytest.mark.parametrize("name", ["geojson_schema", "convert_to_geojson", "convert_geojson_metadata"])
 def test_queries_of_one_file_keep_rows_from_the_driver(spark, monkeypatch, name):
-    from pyspark.sql import classic
+    from pyspark.sql.classic import dataframe
 
     from terravane import queries_files
 
     monkeypatch.setattr(queries_files, "_made", {})
-    monkeypatch.setattr(classic.dataframe.DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows went to the driver"))
+    monkeypatch.setattr(dataframe.DataFrame, "toLocalIterator", lambda *_, **__: pytest.fail("rows went to the driver"))
     assert queries_files.queries()[name](spark, "/root/testdata/sf0.001").count()
+
+
+def test_codecs_share_one_table(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from terravane import queries_files
+
+    made, table = spark.sparkContext.accumulator(0), queries_files._table
+
+    def counted(spark, sf_dir):
+        def seen(k):
+            made.add(1)
+            return k
+
+        df = table(spark, sf_dir)
+        return df.withColumn("c_custkey", F.udf(seen, df.schema["c_custkey"].dataType)("c_custkey"))
+
+    monkeypatch.setattr(queries_files, "_table", counted)
+    rows = queries_files.file_codecs(spark, "/root/testdata/sf0.001").collect()
+    assert len(rows) == 5 and rows[0].n <= made.value < 2 * rows[0].n
